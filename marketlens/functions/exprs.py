@@ -76,8 +76,12 @@ def title_case(c: Column | str) -> Column:
 
 
 def display_millions(x: Column | str, prefix: str = "R$ ", places: int = 1) -> Column:
-    """``R$ 12.3M`` from an amount (rounded half away from zero in decimal)."""
-    m = F.round(_col(x).cast("decimal(38,2)") / 1_000_000, places).cast(f"decimal(38,{places})")
+    """``R$ 12.3M`` from a 2-decimal amount, rounded half away from zero in decimal.
+
+    The amount is held at DECIMAL(22,2) so the quotient keeps scale 13 and the
+    rounding to ``places`` happens once.
+    """
+    m = F.round(_col(x).cast("decimal(22,2)") / 1_000_000, places).cast(f"decimal(38,{places})")
     return F.concat(F.lit(prefix), m.cast("string"), F.lit("M"))
 
 

@@ -66,10 +66,11 @@ def sum_money(x: Column | str) -> Column:
     return round_out(F.sum(_col(x)), 2)
 
 
-def pct(num: Column | str, den: Column | str, places: int = 2) -> Column:
-    """``100.0 * num / den`` of two integral values, rounded -> DOUBLE."""
-    return round_out(_col(num).cast(WIDE_INT) * 100 / F.nullif(_col(den).cast(WIDE_INT), F.lit(0)),
-                     places)
+def pct(num: Column | str, den: Column | str, places: int = 2, scale: int = 0) -> Column:
+    """``100.0 * num / den`` rounded -> DOUBLE; ``scale`` is the inputs' decimal scale
+    (0 for counts, 2 for money)."""
+    t = DecimalType(20 + scale, scale)
+    return round_out(_col(num).cast(t) * 100 / F.nullif(_col(den).cast(t), F.lit(0)), places)
 
 
 def round_ratio(num: Column | str, den: Column | str, places: int) -> Column:
@@ -106,11 +107,11 @@ def avg_days(sum_us: Column | str, count: Column | str, places: int) -> Column:
     return round_ratio(sum_us, _col(count).cast(HUGE_INT) * MICROS_PER_DAY, places)
 
 
-def share(value: Column | str, places: int = 2) -> Column:
+def share(value: Column | str, places: int = 2, scale: int = 0) -> Column:
     """``100 * value / SUM(value) OVER ()`` rounded -> DOUBLE.
 
     The window has no partition key: apply it to aggregated rows only.
     """
     from pyspark.sql import Window
     v = _col(value)
-    return pct(v, F.sum(v).over(Window.partitionBy()), places)
+    return pct(v, F.sum(v).over(Window.partitionBy()), places, scale)

@@ -75,10 +75,12 @@ def totals(df: DataFrame, **aggs: Column) -> DataFrame:
     return df.agg(*[c.alias(n) for n, c in aggs.items()])
 
 
-def first_by(value: str | Column, order: Sequence[Column]) -> Column:
+def first_by(value: str | Column, order: Sequence[Column], where: Column | None = None) -> Column:
     """O6 as an aggregate: ``value`` of the row that sorts first under ``order``.
 
     ``order`` holds ascending sort keys (negate numbers for descending); the
     pick is ``min_by`` over a struct, so no sort or single-task limit runs.
+    Only rows where ``where`` holds take part.
     """
-    return F.min_by(value, F.struct(*order))
+    key = F.struct(*order)
+    return F.min_by(value, key if where is None else F.when(where, key))

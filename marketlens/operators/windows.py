@@ -17,6 +17,10 @@ def window_share(df: DataFrame, count_col: str, alias: str = "percentage",
     return df.withColumn(alias, share(count_col, places))
 
 
-def share_of_total(df: DataFrame, col: str, alias: str = "share", places: int = 2) -> DataFrame:
-    """A value's share of its column total, in percent (what a pie chart shows)."""
-    return df.withColumn(alias, share(col, places))
+def share_of_total(df: DataFrame, col: str, alias: str = "share", places: int = 2,
+                   scale: int = 0) -> DataFrame:
+    """A value's share of its column total, in percent (what a pie chart shows).
+
+    ``scale`` is the decimal scale of ``col`` (0 for counts, 2 for money).
+    """
+    return df.withColumn(alias, share(col, places, scale))

@@ -89,3 +89,151 @@ register("q09b_loyalty_short_labels", _RSQL["q09b_loyalty_short_labels"])(
     lambda t: numbered(R.loyalty_short_labels(t), R.ORDER["q09b"]))
 register("q10_freight_by_category", _RSQL["q10_freight_by_category"])(
     lambda t: numbered(R.freight_by_category(t, min_avg_price=_P["min_avg_price"]), R.ORDER["q10"]))
+
+
+def as_double(df: DataFrame) -> DataFrame:
+    """Expose DECIMAL columns as DOUBLE (the output convention of every entry)."""
+    from pyspark.sql.types import DecimalType
+    return df.select(*[F.col(f.name).cast("double").alias(f.name) if isinstance(f.dataType, DecimalType)
+                       else F.col(f.name) for f in df.schema.fields])
+
+
+# --------------------------------------------------------------------------- K1, charts
+from marketlens.plans import charts as C  # noqa: E402
+from marketlens.plans.kpi import kpi_summary  # noqa: E402
+
+register("kpi_summary", O.kpi_sql(_P["since"]))(lambda t: kpi_summary(t, since=_P["since"]))
+
+_CSQL = O.chart_sql(_P["min_reviews"], _P["min_avg_price"], _P["since"])
+register("chart_monthly_trend", _CSQL["chart_monthly_trend"])(
+    lambda t: numbered(C.chart_monthly_trend(t, since=_P["since"]), R.ORDER["q01"]))
+register("chart_category_bars", _CSQL["chart_category_bars"])(C.chart_category_bars)
+register("chart_state_bars", _CSQL["chart_state_bars"])(
+    lambda t: numbered(C.chart_state_bars(t), R.ORDER["q03"]))
+register("chart_delivery_scatter", _CSQL["chart_delivery_scatter"])(
+    lambda t: numbered(C.chart_delivery_scatter(t), R.ORDER["q04"]))
+register("chart_payment_share", _CSQL["chart_payment_share"])(
+    lambda t: numbered(C.chart_payment_share(t), R.ORDER["q05"]))
+register("chart_review_bars", _CSQL["chart_review_bars"])(
+    lambda t: C.chart_review_bars(t, min_reviews=_P["min_reviews"]))
+register("chart_score_distribution", _CSQL["chart_score_distribution"])(
+    lambda t: numbered(C.chart_score_distribution(t), [F.asc_nulls_last("review_score")]))
+register("chart_segment_share", _CSQL["chart_segment_share"])(
+    lambda t: numbered(C.chart_segment_share(t), R.ORDER["q09b"]))
+register("chart_freight_scatter", _CSQL["chart_freight_scatter"])(
+    lambda t: numbered(C.chart_freight_scatter(t, min_avg_price=_P["min_avg_price"]), R.ORDER["q10"]))
+
+
+# --------------------------------------------------------------------------- sources, sinks, audits
+from pyspark.sql.types import LongType  # noqa: E402
+
+from marketlens.operators import audit as A  # noqa: E402
+from marketlens.plans.catalog import run_reports  # noqa: E402
+from marketlens.schema import DEFAULT_MANIFEST, FOREIGN_KEYS, PRIMARY_KEYS, string_bounds, table_schema  # noqa: E402
+from marketlens.session import scratch_path  # noqa: E402
+from marketlens.sources import files as IO  # noqa: E402
+from marketlens.sources.driver import MONEY  # noqa: E402
+from marketlens.sources.sql import run_sql  # noqa: E402
+
+
+def driver_schema(table: str):
+    """Declared schema with the generated data's id and money types."""
+    return table_schema(table, LongType(), MONEY)
+
+
+_ORDERS_AS_DECLARED = O.with_mapping("""
+SELECT order_id, customer_id, order_status, order_purchase_timestamp,
+  CAST(NULL AS TIMESTAMP) AS order_approved_at, CAST(NULL AS TIMESTAMP) AS order_delivered_carrier_date,
+  order_delivered_customer_date, order_estimated_delivery_date
+FROM x_orders""")
+
+
+@register_spark("io_csv_scan", _ORDERS_AS_DECLARED)
+def io_csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stage the orders as header CSV in the shared folder, scan them back typed."""
+    path = scratch_path(spark, "csv-scan")
+    IO.write_csv(tables(spark, sf_dir).orders, path)
+    return IO.read_csv(spark, path, driver_schema("orders"), required=PRIMARY_KEYS["orders"])
+
+
+@register_spark("io_manifest_load", O.load_counts_sql())
+def io_manifest_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stage all eight tables as the manifest's CSV files, load them, count rows."""
+    base = scratch_path(spark, "manifest")
+    frames = tables(spark, sf_dir).as_dict()
+    for filename, name in DEFAULT_MANIFEST:
+        IO.write_csv(frames[name], f"{base}/{filename}")
+    return A.load_counts(IO.load_tables(spark, base, DEFAULT_MANIFEST, LongType(), MONEY))
+
+
+@register_spark("io_append_sink", O.with_mapping(
+    "SELECT order_id, payment_type, payment_installments, CAST(payment_value AS DOUBLE) AS payment_value "
+    "FROM x_payments UNION ALL SELECT order_id, payment_type, payment_installments, "
+    "CAST(payment_value AS DOUBLE) AS payment_value FROM x_payments"))
+def io_append_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Append the payments twice to one table; both copies remain."""
+    path = scratch_path(spark, "append")
+    payments = tables(spark, sf_dir).order_payments
+    IO.append_table(payments, path)
+    IO.append_table(payments, path)
+    return as_double(spark.read.parquet(path))
+
+
+register("io_load_counts", O.load_counts_sql())(lambda t: A.load_counts(t.as_dict()))
+
+
+@register("io_schema_cast", O.with_mapping(
+    "SELECT order_id, order_item_id, product_id, seller_id, CAST(NULL AS TIMESTAMP) AS shipping_limit_date, "
+    "CAST(price AS DOUBLE) AS price, CAST(freight_value AS DOUBLE) AS freight_value FROM x_items"))
+def io_schema_cast(t: Tables) -> DataFrame:
+    """Items as raw text, conformed to the declared item schema."""
+    items = t.order_items
+    raw = items.select(*[F.col(c).cast("string").alias(c) for c in items.columns])
+    return as_double(IO.conform(raw, driver_schema("order_items"), required=PRIMARY_KEYS["order_items"]))
+
+
+_Q05_SPARK_SQL = """
+SELECT payment_type, COUNT(*) AS total_transactions,
+  CAST(ROUND(SUM(payment_value), 2) AS DOUBLE) AS total_value,
+  CAST(ROUND(CAST(SUM(payment_value) AS DECIMAL(22,2)) / COUNT(payment_value), 2) AS DOUBLE) AS avg_value,
+  CAST(ROUND(CAST(SUM(payment_installments) AS DECIMAL(20,0)) / COUNT(payment_installments), 1) AS DOUBLE)
+    AS avg_installments
+FROM {order_payments}
+GROUP BY payment_type"""
+
+register("io_sql_to_frame", O.with_mapping(O.q05()))(
+    lambda t: run_sql(t.order_payments.sparkSession, _Q05_SPARK_SQL, {"order_payments": t.order_payments}))
+
+
+def _catalog_params() -> dict:
+    return {"q01_monthly_revenue": {"since": _P["since"]},
+            "q07_reviews_by_category": {"min_reviews": _P["min_reviews"]},
+            "q10_freight_by_category": {"min_avg_price": _P["min_avg_price"]},
+            "kpi_summary": {"since": _P["since"]},
+            "chart_monthly_trend": {"since": _P["since"]},
+            "chart_review_bars": {"min_reviews": _P["min_reviews"]},
+            "chart_freight_scatter": {"min_avg_price": _P["min_avg_price"]}}
+
+
+def _catalog_sql() -> str:
+    parts = []
+    for name, sql in {**_RSQL, "kpi_summary": O.kpi_sql(_P["since"]), **_CSQL}.items():
+        parts.append(f"SELECT '{name}' AS report, COUNT(*) AS row_count FROM ({sql}) x")
+    return "\nUNION ALL\n".join(parts)
+
+
+register("io_report_catalog", _catalog_sql())(lambda t: run_reports(t, params=_catalog_params()))
+
+
+@register_spark("io_report_sink", _RSQL["q05_payment_methods"])
+def io_report_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write a report under the shared folder and read the written table."""
+    report = numbered(R.payment_methods(tables(spark, sf_dir)), R.ORDER["q05"])
+    path = IO.write_report(report, scratch_path(spark, "reports"), "q05_payment_methods")
+    return spark.read.parquet(path)
+
+
+register("dq_primary_keys", O.primary_keys_sql(PRIMARY_KEYS))(lambda t: A.check_primary_keys(t.as_dict()))
+register("dq_foreign_keys", O.foreign_keys_sql(FOREIGN_KEYS))(lambda t: A.check_foreign_keys(t.as_dict()))
+register("dq_length_bounds", O.lengths_sql({n: string_bounds(n) for n in O.MAPPED}))(
+    lambda t: A.check_lengths(t.as_dict()))
