@@ -52,7 +52,7 @@ def with_row_number(df: DataFrame, order: Order, name: str = "row_no") -> DataFr
     The window has no partition key, so it runs in one task: use it only on
     frames bounded by a group count or a LIMIT.
     """
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))
+    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("bigint"))
 
 
 def plot_order(df: DataFrame, order: Order, k: int, plot_by: Order,

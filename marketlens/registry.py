@@ -39,7 +39,7 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
 
 
 def numbered(df: DataFrame, order) -> DataFrame:
-    return with_row_number(df, order).withColumn("row_no", F.col("row_no").cast("bigint"))
+    return with_row_number(df, order, "row_no")
 
 
 def register(name: str, sql: str | None = None):
@@ -237,3 +237,7 @@ register("dq_primary_keys", O.primary_keys_sql(PRIMARY_KEYS))(lambda t: A.check_
 register("dq_foreign_keys", O.foreign_keys_sql(FOREIGN_KEYS))(lambda t: A.check_foreign_keys(t.as_dict()))
 register("dq_length_bounds", O.lengths_sql({n: string_bounds(n) for n in O.MAPPED}))(
     lambda t: A.check_lengths(t.as_dict()))
+
+
+# Operator-level entries register themselves on import.
+from marketlens import registry_ops  # noqa: E402,F401
