@@ -8,42 +8,55 @@ tie-break on the group key, so the rows kept under a LIMIT are determined.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-Order = Sequence[Column]
 
+class Sort(NamedTuple):
+    """One sort key, kept as plain data so orders can be declared at import time."""
+    name: str
+    descending: bool = False
 
-def asc(c: str) -> Column:
-    return F.asc_nulls_last(c)
 
+Order = Sequence["Sort | Column"]
 
-def desc(c: str) -> Column:
-    return F.desc_nulls_first(c)
+
+def asc(c: str) -> Sort:
+    """Ascending, NULL last."""
+    return Sort(c, False)
+
+
+def desc(c: str) -> Sort:
+    """Descending, NULL first."""
+    return Sort(c, True)
+
+
+def sort_cols(order: Order) -> list[Column]:
+    """Sort keys as Columns with the NULL order spelled out."""
+    return [(F.desc_nulls_first(s.name) if s.descending else F.asc_nulls_last(s.name))
+            if isinstance(s, Sort) else s for s in order]
+
+
+def reverse(order: Sequence[Sort]) -> list[Sort]:
+    """The exact reverse of an order (ascending NULL-last flips to descending NULL-first)."""
+    return [Sort(s.name, not s.descending) for s in order]
 
 
 def sort_asc(df: DataFrame, *cols: str) -> DataFrame:
     """O1 / O3: ascending on one or more keys."""
-    return df.orderBy(*[asc(c) for c in cols])
+    return df.orderBy(*sort_cols([asc(c) for c in cols]))
 
 
 def sort_desc(df: DataFrame, col: str, *ties: str) -> DataFrame:
     """O2: descending on ``col``, then ascending on the tie-break keys."""
-    return df.orderBy(desc(col), *[asc(t) for t in ties])
+    return df.orderBy(*sort_cols([desc(col), *[asc(t) for t in ties]]))
 
 
 def top_k(df: DataFrame, order: Order, k: int) -> DataFrame:
     """The first ``k`` rows under ``order`` (planned as TakeOrderedAndProject)."""
-    return df.orderBy(*order).limit(k)
-
-
-def reverse(order: Order, names: Sequence[str], directions: Sequence[str]) -> list[Column]:
-    """The exact reverse of an order given as names and 'asc'/'desc' directions."""
-    out = []
-    for n, d in zip(names, directions):
-        out.append(F.asc_nulls_first(n) if d == "desc" else F.desc_nulls_first(n))
-    return out
+    return df.orderBy(*sort_cols(order)).limit(k)
 
 
 def with_row_number(df: DataFrame, order: Order, name: str = "row_no") -> DataFrame:
@@ -52,7 +65,7 @@ def with_row_number(df: DataFrame, order: Order, name: str = "row_no") -> DataFr
     The window has no partition key, so it runs in one task: use it only on
     frames bounded by a group count or a LIMIT.
     """
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("bigint"))
+    return df.withColumn(name, F.row_number().over(Window.orderBy(*sort_cols(order))).cast("bigint"))
 
 
 def plot_order(df: DataFrame, order: Order, k: int, plot_by: Order,
@@ -63,4 +76,4 @@ def plot_order(df: DataFrame, order: Order, k: int, plot_by: Order,
 
 def first_row(df: DataFrame, order: Order) -> DataFrame:
     """The first row under ``order`` as a one-row frame."""
-    return df.orderBy(*order).limit(1)
+    return df.orderBy(*sort_cols(order)).limit(1)

@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.functions.exprs import LATE, ON_TIME
-from marketlens.operators.ordering import plot_order
+from marketlens.operators.ordering import asc, plot_order, reverse, sort_cols
 from marketlens.operators.windows import share_of_total
 from marketlens.plans import reports as R
 from marketlens.tables import Tables
 
 # Bars are drawn bottom-up: the exact reverse of the top-k order.
-CATEGORY_BARS_ORDER = [F.asc_nulls_last("total_revenue"), F.desc_nulls_first("category")]
-REVIEW_BARS_ORDER = [F.asc_nulls_last("avg_score"), F.desc_nulls_first("category")]
+CATEGORY_BARS_ORDER = reverse(R.ORDER["q02"])
+REVIEW_BARS_ORDER = reverse(R.ORDER["q07"])
 
 
 def chart_monthly_trend(t: Tables, since: str = "2017-01-01") -> DataFrame:
@@ -44,7 +44,7 @@ def chart_delivery_scatter(t: Tables) -> DataFrame:
 
 def chart_payment_share(t: Tables) -> DataFrame:
     """Transactions per payment type with their share of all transactions."""
-    return share_of_total(R.payment_methods(t, narrow=True), "total_transactions").orderBy(*R.ORDER["q05"])
+    return share_of_total(R.payment_methods(t, narrow=True), "total_transactions").orderBy(*sort_cols(R.ORDER["q05"]))
 
 
 def chart_review_bars(t: Tables, min_reviews: int = 100, k: int = 15) -> DataFrame:
@@ -62,13 +62,13 @@ def chart_score_distribution(t: Tables) -> DataFrame:
     wide = dist.groupBy("review_score").pivot("delivery_result", [ON_TIME, LATE]).agg(F.sum("count"))
     return (wide.select("review_score", F.col(f"`{ON_TIME}`").alias("on_time"),
                         F.col(f"`{LATE}`").alias("late"))
-            .orderBy(F.asc_nulls_last("review_score")))
+            .orderBy(*sort_cols([asc("review_score")])))
 
 
 def chart_segment_share(t: Tables) -> DataFrame:
     """Loyalty segments (short labels) with customers and share (pie and funnel)."""
     seg = R.loyalty_short_labels(t).select("segment", "customer_count")
-    return share_of_total(seg, "customer_count").orderBy(*R.ORDER["q09b"])
+    return share_of_total(seg, "customer_count").orderBy(*sort_cols(R.ORDER["q09b"]))
 
 
 def chart_freight_scatter(t: Tables, min_avg_price=50, k: int = 15) -> DataFrame:

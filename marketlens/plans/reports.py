@@ -38,7 +38,7 @@ from marketlens.functions.exprs import (SEGMENT_LABELS, SHORT_SEGMENT_LABELS, de
                                         late_flag, segment_expr)
 from marketlens.operators.aggregates import count_distinct, count_rows, count_where, month_start
 from marketlens.operators.joins import product_categories
-from marketlens.operators.ordering import asc, desc, top_k
+from marketlens.operators.ordering import asc, desc, sort_cols, top_k
 from marketlens.operators.relational import filter_eq, filter_not_null, filter_since
 from marketlens.operators.windows import window_share
 from marketlens.tables import Tables
@@ -85,7 +85,7 @@ def monthly_revenue(t: Tables, status: str = DELIVERED, since: str = "2017-01-01
             N.round_out(F.sum("amount_sum"), 2).alias("total_revenue")]
     if not narrow:
         cols.append(N.mean_of(F.sum("amount_sum"), F.sum("amount_n"), 2).alias("avg_order_value"))
-    return rows.groupBy("month").agg(*cols).orderBy(*ORDER["q01"])
+    return rows.groupBy("month").agg(*cols).orderBy(*sort_cols(ORDER["q01"]))
 
 
 # --------------------------------------------------------------------------- Q2
@@ -141,7 +141,7 @@ def delivery_delay(t: Tables, status: str = DELIVERED, narrow: bool = False) ->
         cols.append(F.col("late_deliveries"))
     cols += [N.pct("late_deliveries", "total_delivered").alias("late_delivery_pct"),
              N.avg_days("sum_us", "n_us", 1).alias("avg_delivery_days")]
-    return agg.select(*cols).orderBy(*ORDER["q04"])
+    return agg.select(*cols).orderBy(*sort_cols(ORDER["q04"]))
 
 
 # --------------------------------------------------------------------------- Q5
@@ -153,7 +153,7 @@ def payment_methods(t: Tables, narrow: bool = False) -> DataFrame:
     cols.append(N.avg_exact("payment_value", 2).alias("avg_value"))
     if not narrow:
         cols.append(N.avg_exact("payment_installments", 1, integral=True).alias("avg_installments"))
-    return t.order_payments.groupBy("payment_type").agg(*cols).orderBy(*ORDER["q05"])
+    return t.order_payments.groupBy("payment_type").agg(*cols).orderBy(*sort_cols(ORDER["q05"]))
 
 
 # --------------------------------------------------------------------------- Q6
@@ -246,13 +246,13 @@ def delay_vs_reviews(t: Tables, status: str = DELIVERED) -> DataFrame:
     return agg.select(
         "delivery_result", "total_orders",
         N.mean_of("score_sum", "score_n", 2, scale=0).alias("avg_review_score"),
-        N.avg_days("late_sum", "late_n", 1).alias("avg_days_late")).orderBy(*ORDER["q08"])
+        N.avg_days("late_sum", "late_n", 1).alias("avg_days_late")).orderBy(*sort_cols(ORDER["q08"]))
 
 
 def review_distribution(t: Tables, status: str = DELIVERED) -> DataFrame:
     """Review count per (delivery result, score)."""
     return (delivery_status(t, status).groupBy("delivery_result", "review_score")
-            .agg(count_rows().alias("count")).orderBy(*ORDER["q08b"]))
+            .agg(count_rows().alias("count")).orderBy(*sort_cols(ORDER["q08b"])))
 
 
 # --------------------------------------------------------------------------- Q9
@@ -267,7 +267,7 @@ def repeat_customers(t: Tables, status: str = DELIVERED,
     seg = (per_person.groupBy(segment_expr("order_count", labels).alias(segment_col))
            .agg(count_rows().alias("customer_count")))
     order = ORDER["q09"] if segment_col == "customer_segment" else [desc("customer_count"), asc(segment_col)]
-    return window_share(seg, "customer_count", "percentage").orderBy(*order)
+    return window_share(seg, "customer_count", "percentage").orderBy(*sort_cols(order))
 
 
 def loyalty_short_labels(t: Tables, status: str = DELIVERED) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens import oracle as O
-from marketlens.operators.ordering import with_row_number
+from marketlens.operators.ordering import asc, with_row_number
 from marketlens.plans import reports as R
 from marketlens.sources.driver import driver_tables
 from marketlens.tables import Tables
@@ -117,7 +117,7 @@ register("chart_payment_share", _CSQL["chart_payment_share"])(
 register("chart_review_bars", _CSQL["chart_review_bars"])(
     lambda t: C.chart_review_bars(t, min_reviews=_P["min_reviews"]))
 register("chart_score_distribution", _CSQL["chart_score_distribution"])(
-    lambda t: numbered(C.chart_score_distribution(t), [F.asc_nulls_last("review_score")]))
+    lambda t: numbered(C.chart_score_distribution(t), [asc("review_score")]))
 register("chart_segment_share", _CSQL["chart_segment_share"])(
     lambda t: numbered(C.chart_segment_share(t), R.ORDER["q09b"]))
 register("chart_freight_scatter", _CSQL["chart_freight_scatter"])(

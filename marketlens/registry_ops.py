@@ -377,8 +377,7 @@ def op_top_k(t: Tables) -> DataFrame:
     "SELECT seller_id, revenue, ROW_NUMBER() OVER (ORDER BY revenue ASC NULLS LAST, seller_id DESC NULLS FIRST) "
     f"AS plot_order FROM ({O.numbered(_SELLER_REV_SQL, _SELLER_ORDER, 10)}) t"))
 def op_resort_top_k(t: Tables) -> DataFrame:
-    return OR.plot_order(_seller_revenue(t), _SELLER_TOP, 10,
-                         [F.asc_nulls_last("revenue"), F.desc_nulls_first("seller_id")])
+    return OR.plot_order(_seller_revenue(t), _SELLER_TOP, 10, OR.reverse(_SELLER_TOP))
 
 
 @register("op_first_row", M(f"{_SELLER_REV_SQL} ORDER BY {_SELLER_ORDER} LIMIT 1"))
