@@ -128,14 +128,17 @@ def orders_by_state(t: Tables, status: str = DELIVERED, k: int = 10,
 def delivery_delay(t: Tables, status: str = DELIVERED, narrow: bool = False) -> DataFrame:
     """Q4: per customer state: delivered orders, late ones, late %, mean delivery days."""
     orders = filter_not_null(delivered_orders(t, status), "order_delivered_customer_date")
-    rows = (orders.select("customer_id", late_flag().alias("late"),
-                          N.micros_between("order_purchase_timestamp",
-                                           "order_delivered_customer_date").alias("us"))
-            .join(t.customers.select("customer_id", "customer_state"), "customer_id"))
-    agg = rows.groupBy("customer_state").agg(
-        count_rows().alias("total_delivered"),
-        F.sum("late").cast("bigint").alias("late_deliveries"),
-        N.sum_micros("us").alias("sum_us"), F.count("us").alias("n_us"))
+    us = N.micros_between("order_purchase_timestamp", "order_delivered_customer_date")
+    # sums and counts per customer first: a customer with a huge share of the
+    # orders collapses map-side, and the join sees one row per customer
+    per_customer = orders.groupBy("customer_id").agg(
+        count_rows().alias("n"), F.sum(late_flag()).alias("late"),
+        N.sum_micros(us).alias("sum_us"), F.count(us).alias("n_us"))
+    agg = (per_customer.join(t.customers.select("customer_id", "customer_state"), "customer_id")
+           .groupBy("customer_state").agg(
+               F.sum("n").alias("total_delivered"),
+               F.sum("late").cast("bigint").alias("late_deliveries"),
+               F.sum("sum_us").alias("sum_us"), F.sum("n_us").alias("n_us")))
     cols = [F.col("customer_state"), F.col("total_delivered")]
     if not narrow:
         cols.append(F.col("late_deliveries"))

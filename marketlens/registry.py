@@ -241,3 +241,24 @@ register("dq_length_bounds", O.lengths_sql({n: string_bounds(n) for n in O.MAPPE
 
 # Operator-level entries register themselves on import.
 from marketlens import registry_ops  # noqa: E402,F401
+
+
+# --------------------------------------------------------------------------- incremental load
+from marketlens.streaming.ingest import load_new_files  # noqa: E402
+
+_PAYMENT_COLUMNS = ["order_id", "payment_type", "payment_installments", "payment_value"]
+
+
+@register_spark("io_stream_append", O.with_mapping(
+    "SELECT order_id, payment_type, payment_installments, CAST(payment_value AS DOUBLE) AS payment_value "
+    "FROM x_payments"))
+def io_stream_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streaming load: stage the payments as CSV files, append them with a file-source
+    stream (availableNow), run it twice; the second run finds nothing new."""
+    base = scratch_path(spark, "stream-load")
+    payments = tables(spark, sf_dir).order_payments
+    IO.write_csv(payments.select(*_PAYMENT_COLUMNS), f"{base}/incoming")
+    for _ in range(2):
+        load_new_files(spark, f"{base}/incoming", driver_schema("order_payments"), f"{base}/table",
+                       f"{base}/checkpoint", header=_PAYMENT_COLUMNS, required=["order_id"])
+    return as_double(spark.read.parquet(f"{base}/table").select(*_PAYMENT_COLUMNS))
