@@ -172,19 +172,24 @@ def review_totals(t: Tables) -> DataFrame:
 def top_sellers(t: Tables, status: str = DELIVERED, k: int = 10) -> DataFrame:
     """Q6: top ``k`` sellers by revenue of delivered, reviewed orders, with review mean.
 
-    Each item counts once per review of its order (the reference's fan-out),
-    computed as ``price * reviews_of_order``. The seller attributes join after
-    the per-seller aggregate, weighted by how often a (seller, city, state)
-    row occurs, which equals joining them first.
+    Each item counts once per review of its order (the reference's fan-out).
+    Items are summed per (order, seller) and reviews per order before the
+    order join, so the fan-out becomes a product of sums (``price_sum *
+    reviews``) and a hot order collapses map-side. The seller attributes join
+    after the per-seller aggregate, weighted by how often a (seller, city,
+    state) row occurs, which equals joining them first.
     """
-    rows = (t.order_items.select("order_id", "seller_id", "price")
-            .join(delivered_orders(t, status).select("order_id"), "order_id")
+    items = t.order_items.groupBy("order_id", "seller_id").agg(
+        count_rows().alias("n_items"), F.sum("price").alias("price_sum"),
+        F.count("price").alias("price_n"))
+    rows = (items.join(delivered_orders(t, status).select("order_id"), "order_id")
             .join(review_totals(t).select("order_id", "n_rev", "score_sum", "score_n"), "order_id"))
     per_seller = rows.groupBy("seller_id").agg(
         count_distinct("order_id").alias("total_orders"),
-        F.sum(F.col("price") * F.col("n_rev")).alias("rev"),
-        F.sum(F.when(F.col("price").isNotNull(), F.col("n_rev"))).alias("rev_n"),
-        F.sum("score_sum").alias("score_sum"), F.sum("score_n").alias("score_n"))
+        F.sum(F.col("price_sum") * F.col("n_rev")).alias("rev"),
+        F.sum(F.col("price_n") * F.col("n_rev")).alias("rev_n"),
+        F.sum(F.col("n_items") * F.col("score_sum")).alias("score_sum"),
+        F.sum(F.col("n_items") * F.col("score_n")).alias("score_n"))
     seller_rows = (t.sellers.groupBy("seller_id", "seller_city", "seller_state")
                    .agg(count_rows().alias("mult")))
     out = per_seller.join(seller_rows, "seller_id").select(
@@ -200,15 +205,17 @@ def reviews_by_category(t: Tables, min_reviews: int = 100, k: int = 15,
                         narrow: bool = False) -> DataFrame:
     """Q7: best-reviewed categories with more than ``min_reviews`` reviews (all orders).
 
-    A review counts once per item of its order. Reviews are summed per order,
-    spread over the order's items, summed per product (map-side), and only then
-    joined to the product categories.
+    A review counts once per item of its order. Reviews are summed per order
+    and items counted per (order, product); their product, summed per product
+    (map-side), joins the product categories last.
     """
+    items = t.order_items.groupBy("order_id", "product_id").agg(count_rows().alias("n_items"))
     rows = (review_totals(t)
             .join(t.orders.select("order_id"), "order_id")
-            .join(t.order_items.select("order_id", "product_id"), "order_id"))
+            .join(items, "order_id"))
     sums = ["n_rid", "score_sum", "score_n", "five", "one"]
-    per_product = rows.groupBy("product_id").agg(*[F.sum(c).alias(c) for c in sums])
+    per_product = rows.groupBy("product_id").agg(
+        *[F.sum(F.col(c) * F.col("n_items")).alias(c) for c in sums])
     per_cat = (per_product.join(product_categories(t), "product_id")
                .groupBy("category").agg(*[F.sum(c).alias(c) for c in sums])
                .filter(F.col("n_rid") > min_reviews))
@@ -239,13 +246,22 @@ def delivery_status(t: Tables, status: str = DELIVERED) -> DataFrame:
 
 
 def delay_vs_reviews(t: Tables, status: str = DELIVERED) -> DataFrame:
-    """Q8: review mean and mean days late, on-time against late deliveries."""
-    ds = delivery_status(t, status)
-    late_us = F.when(F.col("days_late_us") > 0, F.col("days_late_us"))
-    agg = ds.groupBy("delivery_result").agg(
-        count_rows().alias("total_orders"),
-        F.sum("review_score").alias("score_sum"), F.count("review_score").alias("score_n"),
-        N.sum_micros(late_us).alias("late_sum"), F.count(late_us).alias("late_n"))
+    """Q8: review mean and mean days late, on-time against late deliveries.
+
+    Every (order, review) row counts, so an order's lateness is weighted by
+    its number of reviews. Reviews are summed per order first (one shuffle,
+    a heavily reviewed order collapses map-side), then joined to the orders.
+    """
+    orders = filter_not_null(delivered_orders(t, status), "order_delivered_customer_date")
+    us = N.micros_between("order_estimated_delivery_date", "order_delivered_customer_date")
+    rows = (orders.select("order_id", delivery_result().alias("delivery_result"), us.alias("late_us"))
+            .join(review_totals(t).select("order_id", "n_rev", "score_sum", "score_n"), "order_id"))
+    late = F.col("late_us") > 0
+    agg = rows.groupBy("delivery_result").agg(
+        F.sum("n_rev").alias("total_orders"),
+        F.sum("score_sum").alias("score_sum"), F.sum("score_n").alias("score_n"),
+        F.sum(F.when(late, F.col("late_us").cast(N.HUGE_INT) * F.col("n_rev"))).alias("late_sum"),
+        F.sum(F.when(late, F.col("n_rev"))).alias("late_n"))
     return agg.select(
         "delivery_result", "total_orders",
         N.mean_of("score_sum", "score_n", 2, scale=0).alias("avg_review_score"),
@@ -253,7 +269,11 @@ def delay_vs_reviews(t: Tables, status: str = DELIVERED) -> DataFrame:
 
 
 def review_distribution(t: Tables, status: str = DELIVERED) -> DataFrame:
-    """Review count per (delivery result, score)."""
+    """Review count per (delivery result, score).
+
+    A plain join of two shuffled inputs followed by a new aggregation
+    exchange: AQE can split a hot order's partition without extra shuffles.
+    """
     return (delivery_status(t, status).groupBy("delivery_result", "review_score")
             .agg(count_rows().alias("count")).orderBy(*sort_cols(ORDER["q08b"])))
 
