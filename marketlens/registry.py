@@ -27,15 +27,9 @@ DRIVER_PARAMS = {"since": "1997-01-01", "min_reviews": 1500, "min_avg_price": 53
 QUERIES: dict[str, QueryFn] = {}
 ORACLE: dict[str, str] = {}
 
-_TABLES: dict[tuple[int, str], Tables] = {}
-
-
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
-    """Stand-in tables for ``sf_dir`` (lazy frames, built once per session and folder)."""
-    key = (id(spark), sf_dir)
-    if key not in _TABLES:
-        _TABLES[key] = driver_tables(spark, sf_dir)
-    return _TABLES[key]
+    """Stand-in tables for ``sf_dir`` (lazy frames; cheap to build, so built per call)."""
+    return driver_tables(spark, sf_dir)
 
 
 def numbered(df: DataFrame, order) -> DataFrame:
