@@ -7,8 +7,9 @@ Rules (all reports follow them):
   once, half away from zero, and only then cast to DOUBLE for output.
   ``avg(decimal)`` is not used: its scale-6 result would round twice.
 * Day spans are integer microsecond differences; their averages are rounded
-  with exact integral division, because a microsecond sum over billions of
-  rows needs more digits than DECIMAL(38) leaves for the quotient's scale.
+  by an exact integer floor (see ``round_ratio``), because a microsecond sum
+  over billions of rows needs more digits than DECIMAL(38) leaves for the
+  quotient's scale.
 """
 
 from __future__ import annotations
@@ -76,13 +77,19 @@ def pct(num: Column | str, den: Column | str, places: int = 2, scale: int = 0) -
 def round_ratio(num: Column | str, den: Column | str, places: int) -> Column:
     """Exact ``num / den`` of two integral values, rounded half away from zero -> DOUBLE.
 
-    Uses integral division (``div``), so it stays exact for any sizes that fit
-    DECIMAL(38,0); NULL when ``den`` is 0 or NULL.
+    ``round(x) = floor((2 * 10^p * |num| + den) / (2 * den))`` with the sign
+    restored. The floor is taken of the DECIMAL quotient and corrected by one
+    with an exact multiply-and-compare, so it is exact for every input whose
+    terms fit DECIMAL(38,0) (an overflow raises, it never wraps). NULL when
+    ``den`` is 0 or NULL.
     """
     scale = 10 ** places
     n = _col(num).cast(HUGE_INT)
     d = F.nullif(_col(den).cast(HUGE_INT), F.lit(0))
-    q = F.call_function("div", F.abs(n) * (2 * scale) + d, d * 2).cast(HUGE_INT)
+    a = F.abs(n) * (2 * scale) + d
+    b = d * 2
+    q0 = F.floor(a / b)                     # the quotient rounds at scale 6: may be one too high
+    q = F.when(q0 * b > a, q0 - 1).otherwise(q0)
     signed = F.when(n < 0, -q).otherwise(q)
     return (signed / F.lit(scale)).cast(DecimalType(38, places)).cast("double")
 
