@@ -52,7 +52,7 @@ ORDER = {
     "q03": [desc("total_orders"), asc("state")],
     "q04": [desc("late_delivery_pct"), asc("customer_state")],
     "q05": [desc("total_transactions"), asc("payment_type")],
-    "q06": [desc("total_revenue"), asc("seller_id")],
+    "q06": [desc("total_revenue"), asc("seller_id"), asc("seller_city"), asc("seller_state")],
     "q07": [desc("avg_score"), asc("category")],
     "q08": [desc("avg_review_score"), asc("delivery_result")],
     "q08b": [asc("delivery_result"), asc("review_score")],
@@ -176,8 +176,7 @@ def top_sellers(t: Tables, status: str = DELIVERED, k: int = 10) -> DataFrame:
     Items are summed per (order, seller) and reviews per order before the
     order join, so the fan-out becomes a product of sums (``price_sum *
     reviews``) and a hot order collapses map-side. The seller attributes join
-    after the per-seller aggregate, weighted by how often a (seller, city,
-    state) row occurs, which equals joining them first.
+    after the per-seller aggregate.
     """
     items = t.order_items.groupBy("order_id", "seller_id").agg(
         count_rows().alias("n_items"), F.sum("price").alias("price_sum"),
@@ -190,13 +189,18 @@ def top_sellers(t: Tables, status: str = DELIVERED, k: int = 10) -> DataFrame:
         F.sum(F.col("price_n") * F.col("n_rev")).alias("rev_n"),
         F.sum(F.col("n_items") * F.col("score_sum")).alias("score_sum"),
         F.sum(F.col("n_items") * F.col("score_n")).alias("score_n"))
-    seller_rows = (t.sellers.groupBy("seller_id", "seller_city", "seller_state")
-                   .agg(count_rows().alias("mult")))
-    out = per_seller.join(seller_rows, "seller_id").select(
-        "seller_id", "seller_city", "seller_state", "total_orders",
-        N.round_out(F.col("rev").cast("decimal(22,2)") * F.col("mult"), 2).alias("total_revenue"),
-        N.mean_of("rev", "rev_n", 2).alias("avg_price"),
-        N.mean_of("score_sum", "score_n", 2, scale=0).alias("avg_review_score"))
+    # seller rows join after the aggregate; grouping on (id, city, state) then
+    # reuses the join's seller_id partitioning, and a repeated seller row
+    # multiplies the sums exactly as joining it before the aggregate would
+    out = (per_seller.join(t.sellers.select("seller_id", "seller_city", "seller_state"), "seller_id")
+           .groupBy("seller_id", "seller_city", "seller_state")
+           .agg(F.max("total_orders").alias("total_orders"),
+                F.sum("rev").alias("rev"), F.sum("rev_n").alias("rev_n"),
+                F.sum("score_sum").alias("score_sum"), F.sum("score_n").alias("score_n"))
+           .select("seller_id", "seller_city", "seller_state", "total_orders",
+                   N.round_out(F.col("rev").cast("decimal(22,2)"), 2).alias("total_revenue"),
+                   N.mean_of("rev", "rev_n", 2).alias("avg_price"),
+                   N.mean_of("score_sum", "score_n", 2, scale=0).alias("avg_review_score")))
     return top_k(out, ORDER["q06"], k)
 
 

@@ -109,3 +109,21 @@ def test_reports_unchanged_under_repartition(fixture_tables):
         t = Tables(**{k: v.repartition(n) for k, v in fixture_tables.as_dict().items()})
         for name, fn in R.REPORTS.items():
             assert rows(fn(t)) == rows(fn(fixture_tables)), (name, n)
+
+
+def test_q06_repeated_seller_rows_match_join_first_semantics(spark, fixture_tables):
+    from pyspark.sql import functions as F
+
+    from marketlens.tables import Tables
+    s = fixture_tables.sellers
+    same = s.unionByName(s.filter(F.col("seller_id") == "s1"))
+    other = s.unionByName(s.filter(F.col("seller_id") == "s1").withColumn("seller_city", F.lit("other")))
+    t_same = Tables(**{**fixture_tables.as_dict(), "sellers": same})
+    t_other = Tables(**{**fixture_tables.as_dict(), "sellers": other})
+    assert rows(R.top_sellers(t_same)) == [
+        ("s2", "niteroi", "RJ", 2, 260.00, 65.00, 2.25),
+        ("s1", "campinas", "SP", 2, 70.02, 11.67, 4.67)]       # one group, sums doubled
+    assert rows(R.top_sellers(t_other)) == [
+        ("s2", "niteroi", "RJ", 2, 260.00, 65.00, 2.25),
+        ("s1", "campinas", "SP", 2, 35.01, 11.67, 4.67),
+        ("s1", "other", "SP", 2, 35.01, 11.67, 4.67)]
