@@ -69,10 +69,11 @@ def delivered_orders(t: Tables, status: str = DELIVERED) -> DataFrame:
 
 # --------------------------------------------------------------------------- Q1
 def monthly_revenue(t: Tables, status: str = DELIVERED, since: str = "2017-01-01",
-                    narrow: bool = False) -> DataFrame:
+                    narrow: bool = False, ordered: bool = True) -> DataFrame:
     """Q1: orders, revenue (price + freight) and mean item value per purchase month.
 
-    ``narrow=True`` gives the dashboard's three columns (no average).
+    ``narrow=True`` gives the dashboard's three columns (no average);
+    ``ordered=False`` skips the final sort (for callers that aggregate further).
     """
     amount = F.col("price") + F.col("freight_value")
     per_order = (t.order_items.select("order_id", amount.alias("amount"))
@@ -85,7 +86,8 @@ def monthly_revenue(t: Tables, status: str = DELIVERED, since: str = "2017-01-01
             N.round_out(F.sum("amount_sum"), 2).alias("total_revenue")]
     if not narrow:
         cols.append(N.mean_of(F.sum("amount_sum"), F.sum("amount_n"), 2).alias("avg_order_value"))
-    return rows.groupBy("month").agg(*cols).orderBy(*sort_cols(ORDER["q01"]))
+    out = rows.groupBy("month").agg(*cols)
+    return out.orderBy(*sort_cols(ORDER["q01"])) if ordered else out
 
 
 # --------------------------------------------------------------------------- Q2
@@ -125,8 +127,12 @@ def orders_by_state(t: Tables, status: str = DELIVERED, k: int = 10,
 
 
 # --------------------------------------------------------------------------- Q4
-def delivery_delay(t: Tables, status: str = DELIVERED, narrow: bool = False) -> DataFrame:
-    """Q4: per customer state: delivered orders, late ones, late %, mean delivery days."""
+def delivery_delay(t: Tables, status: str = DELIVERED, narrow: bool = False,
+                   ordered: bool = True) -> DataFrame:
+    """Q4: per customer state: delivered orders, late ones, late %, mean delivery days.
+
+    ``ordered=False`` skips the final sort (for callers that aggregate further).
+    """
     orders = filter_not_null(delivered_orders(t, status), "order_delivered_customer_date")
     us = N.micros_between("order_purchase_timestamp", "order_delivered_customer_date")
     # sums and counts per customer first: a customer with a huge share of the
@@ -144,7 +150,8 @@ def delivery_delay(t: Tables, status: str = DELIVERED, narrow: bool = False) ->
         cols.append(F.col("late_deliveries"))
     cols += [N.pct("late_deliveries", "total_delivered").alias("late_delivery_pct"),
              N.avg_days("sum_us", "n_us", 1).alias("avg_delivery_days")]
-    return agg.select(*cols).orderBy(*sort_cols(ORDER["q04"]))
+    out = agg.select(*cols)
+    return out.orderBy(*sort_cols(ORDER["q04"])) if ordered else out
 
 
 # --------------------------------------------------------------------------- Q5

@@ -79,3 +79,11 @@ def test_results_independent_of_partitioning(gen):
     t17 = Tables(**{k: v.repartition(17) for k, v in gen.as_dict().items()})
     for fn in (R.monthly_revenue, R.top_sellers, R.reviews_by_category, R.freight_by_category):
         assert rows(fn(t1)) == rows(fn(t17)) == rows(fn(gen)), fn.__name__
+
+
+def test_staged_tables_give_same_results(spark, gen, staged):
+    plain = stage_tables(spark, gen, scratch_path(spark, "test-stage-plain"), files=3)
+    for name, fn in R.REPORTS.items():
+        want = rows(fn(gen))
+        assert rows(fn(plain)) == want, name
+        assert rows(fn(staged)) == want, name
