@@ -118,6 +118,3 @@ def string_bounds(table: str) -> list[tuple[str, int]]:
     """(column, declared length bound) for every bounded string/id column."""
     return [(c, b) for c, _, b in _COLUMNS[table] if b is not None]
 
-
-def column_names(table: str) -> list[str]:
-    return [c for c, _, _ in _COLUMNS[table]]

@@ -70,3 +70,23 @@ def work_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared work folder."""
     return f"{work_dir(spark)}/marketlens/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def cluster_conf(shuffle_bytes: int, target_partition_bytes: int = 256 << 20,
+                 max_split_bytes: int = 512 << 20) -> dict[str, str]:
+    """Settings for a cluster run sized from the largest expected shuffle.
+
+    ``shuffle.partitions`` starts at ``shuffle_bytes / target_partition_bytes``
+    (AQE coalesces downwards from there at run time), file splits are
+    ``max_split_bytes``, and a join partition counts as skewed from five times
+    the median and four advisory sizes on, when AQE splits it.
+    """
+    partitions = max(200, -(-shuffle_bytes // target_partition_bytes))
+    return {
+        **REPORT_CONF,
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(max_split_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+    }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from conftest import rows
 
 from marketlens.plans import charts as C
-from marketlens.plans.catalog import CATALOG, run_reports
+from marketlens.plans.catalog import CATALOG, run_reports, write_reports
 from marketlens.plans.kpi import kpi_summary
 
 
@@ -55,3 +55,12 @@ def test_run_reports_counts_every_catalog_entry(fixture_tables):
     got = dict(rows(run_reports(fixture_tables)))
     assert list(got) == list(CATALOG)
     assert got["q05_payment_methods"] == 3 and got["kpi_summary"] == 1
+
+
+def test_write_reports_one_output_per_report(spark, fixture_tables):
+    from marketlens.session import scratch_path
+    names = ["q05_payment_methods", "q09_repeat_customers", "kpi_summary", "chart_category_bars"]
+    paths = write_reports(fixture_tables, scratch_path(spark, "test-write-reports"), names)
+    assert list(paths) == names
+    counts = dict(rows(run_reports(fixture_tables, names)))
+    assert {n: spark.read.parquet(p).count() for n, p in paths.items()} == counts
