@@ -40,7 +40,7 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     partitions = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", str(cpus)))
     stage = os.environ.get("BENCH_STAGE", "1") != "0"
-    repeats = int(os.environ.get("BENCH_REPEATS", "2"))
+    repeats = int(os.environ.get("BENCH_REPEATS", "3"))
 
     spark = get_session(f"local[{cpus}]", shuffle_partitions=partitions,
                         extra={"spark.sql.sources.bucketing.enabled": "true"})
