@@ -64,3 +64,19 @@ def test_write_reports_one_output_per_report(spark, fixture_tables):
     assert list(paths) == names
     counts = dict(rows(run_reports(fixture_tables, names)))
     assert {n: spark.read.parquet(p).count() for n, p in paths.items()} == counts
+
+
+def test_command_line_writes_reports(spark, capsys):
+    import os
+
+    from marketlens.__main__ import main
+    from marketlens.session import scratch_path
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        return
+    out = scratch_path(spark, "test-cli")
+    assert main(["--generated", sf, "--reports", "q05_payment_methods", "kpi_summary",
+                 "--param", "q07_reviews_by_category.min_reviews=1500", "--out", out]) == 0
+    assert spark.read.parquet(f"{out}/kpi_summary").count() == 1
+    assert spark.read.parquet(f"{out}/q05_payment_methods").count() == 5
+    assert "q05_payment_methods" in capsys.readouterr().out
