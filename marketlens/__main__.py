@@ -19,6 +19,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from marketlens.plans.catalog import CATALOG, build_reports, run_reports
+from marketlens.schema import TABLE_NAMES
 from marketlens.session import apply_report_conf
 from marketlens.sources.driver import driver_tables
 from marketlens.sources.files import load_tables, write_report
@@ -67,9 +68,7 @@ def main(argv: list[str] | None = None) -> int:
     if args.generated:
         tables = driver_tables(spark, args.generated)
     else:
-        names = ["customers", "sellers", "products", "orders", "order_items", "order_payments",
-                 "order_reviews", "category_translation"]
-        manifest = [(f"{n}.{args.format}", n) for n in names]
+        manifest = [(f"{n}.{args.format}", n) for n in TABLE_NAMES]
         tables = Tables.from_dict(load_tables(spark, args.tables, manifest, fmt=args.format))
     params = parse_params(args.param)
     names = args.reports or list(CATALOG)

@@ -62,6 +62,23 @@ def avg_exact(x: Column | str, places: int, integral: bool = False) -> Column:
     return mean_of(F.sum(x), F.count(x), places, scale=0 if integral else 2)
 
 
+def cents(x: Column | str) -> Column:
+    """A 2-decimal money value as whole cents (BIGINT)."""
+    return (_col(x) * 100).cast("bigint")
+
+
+def sum_cents(x: Column | str) -> Column:
+    """Aggregate: exact sum of a 2-decimal amount, added as BIGINT cents and
+    returned as DECIMAL(22,2).
+
+    Long addition stays in generated code, unlike DECIMAL sums wider than 18
+    digits; use it where the group bounds the total (per order, per product:
+    a BIGINT holds 9.2e16 currency units), with cross-group totals in DECIMAL.
+    An overflow raises under ANSI mode; it never wraps.
+    """
+    return (F.sum(cents(x)).cast(WIDE_INT) / 100).cast(DecimalType(22, 2))
+
+
 def sum_money(x: Column | str) -> Column:
     """Aggregate: exact decimal sum rounded to cents -> DOUBLE."""
     return round_out(F.sum(_col(x)), 2)

@@ -78,7 +78,7 @@ def monthly_revenue(t: Tables, status: str = DELIVERED, since: str = "2017-01-01
     amount = F.col("price") + F.col("freight_value")
     per_order = (t.order_items.select("order_id", amount.alias("amount"))
                  .groupBy("order_id")
-                 .agg(F.sum("amount").alias("amount_sum"), F.count("amount").alias("amount_n")))
+                 .agg(N.sum_cents("amount").alias("amount_sum"), F.count("amount").alias("amount_n")))
     orders = filter_since(delivered_orders(t, status), "order_purchase_timestamp", since)
     rows = (orders.select("order_id", month_start("order_purchase_timestamp").alias("month"))
             .join(per_order, "order_id"))
@@ -114,7 +114,7 @@ def orders_by_state(t: Tables, status: str = DELIVERED, k: int = 10,
                     narrow: bool = False) -> DataFrame:
     """Q3: top ``k`` customer states by delivered orders (with item revenue)."""
     per_order = (t.order_items.groupBy("order_id")
-                 .agg(F.sum("price").alias("price_sum"), F.count("price").alias("price_n")))
+                 .agg(N.sum_cents("price").alias("price_sum"), F.count("price").alias("price_n")))
     rows = (delivered_orders(t, status).select("order_id", "customer_id")
             .join(t.customers.select("customer_id", "customer_state"), "customer_id")
             .join(per_order, "order_id"))
@@ -186,7 +186,7 @@ def top_sellers(t: Tables, status: str = DELIVERED, k: int = 10) -> DataFrame:
     after the per-seller aggregate.
     """
     items = t.order_items.groupBy("order_id", "seller_id").agg(
-        count_rows().alias("n_items"), F.sum("price").alias("price_sum"),
+        count_rows().alias("n_items"), N.sum_cents("price").alias("price_sum"),
         F.count("price").alias("price_n"))
     rows = (items.join(delivered_orders(t, status).select("order_id"), "order_id")
             .join(review_totals(t).select("order_id", "n_rev", "score_sum", "score_n"), "order_id"))
@@ -318,8 +318,8 @@ def freight_by_category(t: Tables, min_avg_price=50, k: int = 15) -> DataFrame:
     drops from that mean only.
     """
     ratio = F.col("freight_value") / F.nullif(F.col("price"), F.lit(0)) * 100
-    sums = {"price_sum": F.sum("price"), "price_n": F.count("price"),
-            "freight_sum": F.sum("freight_value"), "freight_n": F.count("freight_value"),
+    sums = {"price_sum": N.sum_cents("price"), "price_n": F.count("price"),
+            "freight_sum": N.sum_cents("freight_value"), "freight_n": F.count("freight_value"),
             "ratio_sum": F.sum(ratio), "ratio_n": F.count(ratio)}
     per_product = t.order_items.groupBy("product_id").agg(*[c.alias(n) for n, c in sums.items()])
     per_cat = (per_product.join(product_categories(t), "product_id")

@@ -80,3 +80,12 @@ def test_segments(spark):
     got = [r.s for r in df.select(segment_expr("n").alias("s")).collect()]
     assert got == ["One-time buyer", "Repeat (2 orders)", "Loyal (3-5 orders)", "Loyal (3-5 orders)",
                    "Champion (6+ orders)", "Champion (6+ orders)"]
+
+
+def test_sum_cents_exact_and_null_aware(spark):
+    df = spark.createDataFrame([("a", Decimal("0.10")), ("a", Decimal("0.20")), ("a", None),
+                                ("b", None), ("c", Decimal("99999999.99")), ("c", Decimal("0.01"))],
+                               "k string, x decimal(12,2)")
+    got = {r.k: r.s for r in df.groupBy("k").agg(N.sum_cents("x").alias("s")).collect()}
+    assert got == {"a": Decimal("0.30"), "b": None, "c": Decimal("100000000.00")}
+    assert dict(df.groupBy("k").agg(N.sum_cents("x").alias("s")).dtypes)["s"] == "decimal(22,2)"
