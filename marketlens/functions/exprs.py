@@ -26,6 +26,11 @@ def category_expr(english: Column | str = "product_category_name_english",
     return F.coalesce(_col(english), _col(raw), F.lit(default))
 
 
+def to_ts(c: Column | str) -> Column:
+    """Text -> timestamp without zone (what ``::timestamp`` does to text columns)."""
+    return _col(c).cast("timestamp_ntz")
+
+
 def is_after(a: Column | str, b: Column | str) -> Column:
     """``a > b``, three-valued: NULL when either side is NULL."""
     return _col(a) > _col(b)

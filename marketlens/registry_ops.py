@@ -397,8 +397,7 @@ def op_date_trunc_month(t: Tables) -> DataFrame:
     f"CAST(strftime({PURCHASE}, '%Y-%m-%d %H:%M:%S') AS TIMESTAMP) AS purchase_ts FROM x_orders"))
 def op_cast_timestamp(t: Tables) -> DataFrame:
     text = F.date_format(PURCHASE, "yyyy-MM-dd HH:mm:ss")
-    return t.orders.select("order_id", text.alias("purchase_text"),
-                           text.cast("timestamp_ntz").alias("purchase_ts"))
+    return t.orders.select("order_id", text.alias("purchase_text"), X.to_ts(text).alias("purchase_ts"))
 
 
 @register("op_cast_numeric", M(
