@@ -89,3 +89,14 @@ def test_sum_cents_exact_and_null_aware(spark):
     got = {r.k: r.s for r in df.groupBy("k").agg(N.sum_cents("x").alias("s")).collect()}
     assert got == {"a": Decimal("0.30"), "b": None, "c": Decimal("100000000.00")}
     assert dict(df.groupBy("k").agg(N.sum_cents("x").alias("s")).dtypes)["s"] == "decimal(22,2)"
+
+
+def test_to_ts_and_cluster_conf(spark):
+    from marketlens.functions.exprs import to_ts
+    from marketlens.session import cluster_conf
+    r = spark.range(1).select(to_ts(F.lit("2017-01-31 23:59:59")).alias("t")).collect()[0]
+    assert r.t == dt.datetime(2017, 1, 31, 23, 59, 59)
+    c = cluster_conf(30 * 2**40)                      # a 30 TiB shuffle
+    assert c["spark.sql.shuffle.partitions"] == str(30 * 2**40 // (256 << 20))
+    assert c["spark.sql.adaptive.enabled"] == "true" and c["spark.sql.session.timeZone"] == "UTC"
+    assert cluster_conf(1)["spark.sql.shuffle.partitions"] == "200"
