@@ -216,19 +216,21 @@ def reviews_by_category(t: Tables, min_reviews: int = 100, k: int = 15,
                         narrow: bool = False) -> DataFrame:
     """Q7: best-reviewed categories with more than ``min_reviews`` reviews (all orders).
 
-    A review counts once per item of its order. Reviews are summed per order
-    and items counted per (order, product); their product, summed per product
-    (map-side), joins the product categories last.
+    A review counts once per item of its order. Items get their category
+    first (a plain shuffled join, which AQE splits for a hot product) and are
+    counted per (order, category); reviews are summed per order. Their join
+    therefore sees at most one row per category for any order, however many
+    items it holds, and the per-category sums are products of the two.
     """
-    items = t.order_items.groupBy("order_id", "product_id").agg(count_rows().alias("n_items"))
+    item_cats = (t.order_items.select("order_id", "product_id")
+                 .join(product_categories(t), "product_id")
+                 .groupBy("order_id", "category").agg(count_rows().alias("n_items")))
     rows = (review_totals(t)
             .join(t.orders.select("order_id"), "order_id")
-            .join(items, "order_id"))
+            .join(item_cats, "order_id"))
     sums = ["n_rid", "score_sum", "score_n", "five", "one"]
-    per_product = rows.groupBy("product_id").agg(
-        *[F.sum(F.col(c) * F.col("n_items")).alias(c) for c in sums])
-    per_cat = (per_product.join(product_categories(t), "product_id")
-               .groupBy("category").agg(*[F.sum(c).alias(c) for c in sums])
+    per_cat = (rows.groupBy("category")
+               .agg(*[F.sum(F.col(c) * F.col("n_items")).alias(c) for c in sums])
                .filter(F.col("n_rid") > min_reviews))
     cols = [F.col("category"), F.col("n_rid").alias("total_reviews"),
             N.mean_of("score_sum", "score_n", 2, scale=0).alias("avg_score")]
