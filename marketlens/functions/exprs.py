@@ -70,7 +70,9 @@ def title_case(c: Column | str) -> Column:
     """Python ``str.title()``: a cased letter is upper after a non-cased character, else lower.
 
     ``initcap`` only splits on spaces, so the string is split into characters
-    and each is cased by its predecessor with a higher-order function.
+    and each is cased by its predecessor with a higher-order function. A
+    character whose title case differs from its upper case (``ß`` -> ``Ss``)
+    takes the upper case here.
     """
     chars = F.split(_col(c), "")
     cased = r"[\p{Lu}\p{Ll}\p{Lt}]"

@@ -77,3 +77,12 @@ def test_streaming_load_appends_each_file_once(spark, tmp_path):
                  for r in spark.read.parquet(f"{base}/table").collect())
     assert got == [("o1", Decimal("33.51"), None), ("o2", Decimal("100.00"), None),
                    ("o3", Decimal("10.00"), None)]
+
+
+@settings(max_examples=4, deadline=None, phases=[Phase.explicit, Phase.generate])
+@given(st.lists(st.text(alphabet="abcXYZ019 _-#'.çãé", max_size=30), min_size=1, max_size=200))
+def test_title_case_matches_python_title(spark, words):
+    from marketlens.functions.exprs import title_case
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, w string")
+    got = [r.t for r in df.orderBy("i").select(title_case("w").alias("t")).collect()]
+    assert got == [w.title() for w in words]
