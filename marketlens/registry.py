@@ -27,12 +27,14 @@ DRIVER_PARAMS = {"since": "1997-01-01", "min_reviews": 1500, "min_avg_price": 53
 QUERIES: dict[str, QueryFn] = {}
 ORACLE: dict[str, str] = {}
 
+
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
     """Stand-in tables for ``sf_dir`` (lazy frames; cheap to build, so built per call)."""
     return driver_tables(spark, sf_dir)
 
 
 def numbered(df: DataFrame, order) -> DataFrame:
+    """Add ``row_no`` (BIGINT) in the report's order, so the order is part of the values."""
     return with_row_number(df, order, "row_no")
 
 
