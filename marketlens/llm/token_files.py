@@ -142,7 +142,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
         bucket = F.expr(_search([b for b in bounds], 0, len(bounds)))
     width = 2 if max(encoder(tokenizer).lib.get_vocab_size(), (end_id or 0) + 1) <= 1 << 16 else 4
     (docs.mapInArrow(_encode(tokenizer, end_id, width), "doc_id long, ids binary")
-     .select(F.coalesce(bucket, F.lit(0)).cast("int").alias("bucket"), "doc_id", "ids")
+     .select(F.when(F.col("doc_id").isNull(), 0).otherwise(bucket).cast("int").alias("bucket"), "doc_id", "ids")
      .repartitionById(len(bounds) + 1, F.col("bucket"))
      .sortWithinPartitions("bucket", "doc_id", "ids")
      .mapInArrow(_blocks(width), _BLOCK_DDL)
