@@ -18,15 +18,17 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from marketlens.plans.catalog import CATALOG, build_reports, run_reports
+from marketlens.plans.catalog import CATALOG, count_rows, write_reports
 from marketlens.schema import TABLE_NAMES
-from marketlens.session import apply_report_conf
+from marketlens.session import apply_report_conf, scratch_path
 from marketlens.sources.driver import driver_tables
-from marketlens.sources.files import load_tables, write_report
+from marketlens.sources.files import load_tables, read_report
 from marketlens.tables import Tables
 
 
 def _value(text: str):
+    if text.lower() in ("true", "false"):
+        return text.lower() == "true"
     for cast in (int, float):
         try:
             return cast(text)
@@ -56,6 +58,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--out", help="write each report to OUT/<report>")
     p.add_argument("--out-format", default="parquet", choices=["parquet", "json", "csv"])
     p.add_argument("--show", action="store_true", help="print every report")
+    p.add_argument("--show-rows", type=int, help="print at most so many rows of a report (default: all)")
     p.add_argument("--param", action="append", default=[], help="REPORT.NAME=VALUE")
     p.add_argument("--ui", action="store_true", help="keep the Spark web UI on (off by default)")
     args = p.parse_args(argv)
@@ -73,14 +76,15 @@ def main(argv: list[str] | None = None) -> int:
     params = parse_params(args.param)
     names = args.reports or list(CATALOG)
 
-    if args.out:
-        for name, df in build_reports(tables, names, params).items():
-            write_report(df, args.out, name, args.out_format)
-    run_reports(tables, names, params).show(len(names), truncate=False)
+    # each report runs once: it is written, and counted and shown from what was written
+    out = args.out or scratch_path(spark, "reports")
+    paths = write_reports(tables, out, names, params, args.out_format)
+    written = {n: read_report(spark, p, args.out_format) for n, p in paths.items()}
+    count_rows(written).show(len(names), truncate=False)
     if args.show:
-        for name, df in build_reports(tables, names, params).items():
+        for name, df in written.items():
             print(f"== {name}")
-            df.show(1000, truncate=False)
+            df.show(args.show_rows or max(df.count(), 1), truncate=False)
     return 0
 
 

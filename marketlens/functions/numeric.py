@@ -37,15 +37,11 @@ def round_out(c: Column | str, places: int) -> Column:
     return F.round(_col(c), places).cast("double")
 
 
-def ratio(num: Column | str, den: Column | str) -> Column:
-    """``num / den`` over wide decimals (scale 18); NULL when ``den`` is 0 or NULL."""
-    return _col(num).cast(WIDE_INT) / F.nullif(_col(den).cast(WIDE_INT), F.lit(0))
-
-
-def mean_of(total: Column | str, count: Column | str, places: int, scale: int = 2) -> Column:
+def mean_of(total: Column | str, count: Column | str, places: int, scale: int = 10) -> Column:
     """``total / count`` rounded to ``places`` -> DOUBLE; NULL when ``count`` is 0.
 
-    ``total`` is cast to DECIMAL(20+scale, scale) and ``count`` to DECIMAL(20,0),
+    ``total`` is cast to DECIMAL(20+scale, scale) (10 decimals by default, so that
+    no money scale in use is cut) and ``count`` to DECIMAL(20,0),
     which gives the quotient scale 18: exact enough that rounding to 1 or 2
     places never rounds twice for groups below 10**16 rows.
     """
@@ -56,27 +52,10 @@ def mean_of(total: Column | str, count: Column | str, places: int, scale: int =
 def avg_exact(x: Column | str, places: int, integral: bool = False) -> Column:
     """Aggregate: mean of ``x`` (NULLs skipped) rounded to ``places`` -> DOUBLE.
 
-    ``x`` is money (DECIMAL(p,2)), or integral when ``integral=True``.
+    ``x`` is money (DECIMAL), or integral when ``integral=True``.
     """
     x = _col(x)
-    return mean_of(F.sum(x), F.count(x), places, scale=0 if integral else 2)
-
-
-def cents(x: Column | str) -> Column:
-    """A 2-decimal money value as whole cents (BIGINT)."""
-    return (_col(x) * 100).cast("bigint")
-
-
-def sum_cents(x: Column | str) -> Column:
-    """Aggregate: exact sum of a 2-decimal amount, added as BIGINT cents and
-    returned as DECIMAL(22,2).
-
-    Long addition stays in generated code, unlike DECIMAL sums wider than 18
-    digits; use it where the group bounds the total (per order, per product:
-    a BIGINT holds 9.2e16 currency units), with cross-group totals in DECIMAL.
-    An overflow raises under ANSI mode; it never wraps.
-    """
-    return (F.sum(cents(x)).cast(WIDE_INT) / 100).cast(DecimalType(22, 2))
+    return mean_of(F.sum(x), F.count(x), places, scale=0 if integral else 10)
 
 
 def sum_money(x: Column | str) -> Column:

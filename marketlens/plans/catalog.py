@@ -29,8 +29,13 @@ def run_reports(t: Tables, names: Iterable[str] | None = None,
 
     One job: the per-report counts are unioned and evaluated together.
     """
+    return count_rows(build_reports(t, names, params))
+
+
+def count_rows(reports: Mapping[str, DataFrame]) -> DataFrame:
+    """(report, row_count) of the given frames, in their order."""
     frames = [df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(n).alias("report"), "row_count")
-              for n, df in build_reports(t, names, params).items()]
+              for n, df in reports.items()]
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)

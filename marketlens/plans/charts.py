@@ -28,7 +28,7 @@ def chart_monthly_trend(t: Tables, since: str = "2017-01-01") -> DataFrame:
 
 def chart_category_bars(t: Tables, k: int = 15) -> DataFrame:
     """Top categories by revenue, numbered ascending for horizontal bars."""
-    top = R.revenue_by_category(t, narrow=True)
+    top = R.revenue_by_category(t, k=k, narrow=True)
     return plot_order(top, R.ORDER["q02"], k, CATEGORY_BARS_ORDER)
 
 
@@ -49,7 +49,7 @@ def chart_payment_share(t: Tables) -> DataFrame:
 
 def chart_review_bars(t: Tables, min_reviews: int = 100, k: int = 15) -> DataFrame:
     """Best-reviewed categories, numbered ascending by score."""
-    top = R.reviews_by_category(t, min_reviews=min_reviews, narrow=True)
+    top = R.reviews_by_category(t, min_reviews=min_reviews, k=k, narrow=True)
     return plot_order(top, R.ORDER["q07"], k, REVIEW_BARS_ORDER)
 
 

@@ -26,8 +26,8 @@ from marketlens.tables import Tables
 
 def kpi_summary(t: Tables, status: str = DELIVERED, since: str = "2017-01-01",
                 k: int = 15) -> DataFrame:
-    months = monthly_revenue(t, status, since, narrow=True, ordered=False).select(
-        F.col("total_revenue").cast("decimal(22,2)").alias("month_revenue"),
+    months = monthly_revenue(t, status, since, narrow=True, ordered=False, exact=True).select(
+        F.col("total_revenue").alias("month_revenue"),
         F.col("total_orders").alias("month_orders"))
     states = delivery_delay(t, status, narrow=True, ordered=False).select(
         F.col("late_delivery_pct").cast("decimal(10,2)").alias("state_pct"))

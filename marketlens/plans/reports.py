@@ -69,21 +69,22 @@ def delivered_orders(t: Tables, status: str = DELIVERED) -> DataFrame:
 
 # --------------------------------------------------------------------------- Q1
 def monthly_revenue(t: Tables, status: str = DELIVERED, since: str = "2017-01-01",
-                    narrow: bool = False, ordered: bool = True) -> DataFrame:
+                    narrow: bool = False, ordered: bool = True, exact: bool = False) -> DataFrame:
     """Q1: orders, revenue (price + freight) and mean item value per purchase month.
 
-    ``narrow=True`` gives the dashboard's three columns (no average);
-    ``ordered=False`` skips the final sort (for callers that aggregate further).
+    ``narrow=True`` gives the dashboard's three columns (no average); ``ordered=False``
+    skips the final sort and ``exact=True`` leaves the rounded revenue DECIMAL (for
+    callers that aggregate further).
     """
     amount = F.col("price") + F.col("freight_value")
     per_order = (t.order_items.select("order_id", amount.alias("amount"))
                  .groupBy("order_id")
-                 .agg(N.sum_cents("amount").alias("amount_sum"), F.count("amount").alias("amount_n")))
+                 .agg(F.sum("amount").alias("amount_sum"), F.count("amount").alias("amount_n")))
     orders = filter_since(delivered_orders(t, status), "order_purchase_timestamp", since)
     rows = (orders.select("order_id", month_start("order_purchase_timestamp").alias("month"))
             .join(per_order, "order_id"))
     cols = [count_distinct("order_id").alias("total_orders"),
-            N.round_out(F.sum("amount_sum"), 2).alias("total_revenue")]
+            (F.round(F.sum("amount_sum"), 2) if exact else N.round_out(F.sum("amount_sum"), 2)).alias("total_revenue")]
     if not narrow:
         cols.append(N.mean_of(F.sum("amount_sum"), F.sum("amount_n"), 2).alias("avg_order_value"))
     out = rows.groupBy("month").agg(*cols)
@@ -114,7 +115,7 @@ def orders_by_state(t: Tables, status: str = DELIVERED, k: int = 10,
                     narrow: bool = False) -> DataFrame:
     """Q3: top ``k`` customer states by delivered orders (with item revenue)."""
     per_order = (t.order_items.groupBy("order_id")
-                 .agg(N.sum_cents("price").alias("price_sum"), F.count("price").alias("price_n")))
+                 .agg(F.sum("price").alias("price_sum"), F.count("price").alias("price_n")))
     rows = (delivered_orders(t, status).select("order_id", "customer_id")
             .join(t.customers.select("customer_id", "customer_state"), "customer_id")
             .join(per_order, "order_id"))
@@ -186,7 +187,7 @@ def top_sellers(t: Tables, status: str = DELIVERED, k: int = 10) -> DataFrame:
     after the per-seller aggregate.
     """
     items = t.order_items.groupBy("order_id", "seller_id").agg(
-        count_rows().alias("n_items"), N.sum_cents("price").alias("price_sum"),
+        count_rows().alias("n_items"), F.sum("price").alias("price_sum"),
         F.count("price").alias("price_n"))
     rows = (items.join(delivered_orders(t, status).select("order_id"), "order_id")
             .join(review_totals(t).select("order_id", "n_rev", "score_sum", "score_n"), "order_id"))
@@ -205,7 +206,7 @@ def top_sellers(t: Tables, status: str = DELIVERED, k: int = 10) -> DataFrame:
                 F.sum("rev").alias("rev"), F.sum("rev_n").alias("rev_n"),
                 F.sum("score_sum").alias("score_sum"), F.sum("score_n").alias("score_n"))
            .select("seller_id", "seller_city", "seller_state", "total_orders",
-                   N.round_out(F.col("rev").cast("decimal(22,2)"), 2).alias("total_revenue"),
+                   N.round_out("rev", 2).alias("total_revenue"),
                    N.mean_of("rev", "rev_n", 2).alias("avg_price"),
                    N.mean_of("score_sum", "score_n", 2, scale=0).alias("avg_review_score")))
     return top_k(out, ORDER["q06"], k)
@@ -320,8 +321,8 @@ def freight_by_category(t: Tables, min_avg_price=50, k: int = 15) -> DataFrame:
     drops from that mean only.
     """
     ratio = F.col("freight_value") / F.nullif(F.col("price"), F.lit(0)) * 100
-    sums = {"price_sum": N.sum_cents("price"), "price_n": F.count("price"),
-            "freight_sum": N.sum_cents("freight_value"), "freight_n": F.count("freight_value"),
+    sums = {"price_sum": F.sum("price"), "price_n": F.count("price"),
+            "freight_sum": F.sum("freight_value"), "freight_n": F.count("freight_value"),
             "ratio_sum": F.sum(ratio), "ratio_n": F.count(ratio)}
     per_product = t.order_items.groupBy("product_id").agg(*[c.alias(n) for n, c in sums.items()])
     per_cat = (per_product.join(product_categories(t), "product_id")

@@ -125,7 +125,7 @@ from pyspark.sql.types import LongType  # noqa: E402
 
 from marketlens.operators import audit as A  # noqa: E402
 from marketlens.plans.catalog import run_reports  # noqa: E402
-from marketlens.schema import DEFAULT_MANIFEST, FOREIGN_KEYS, PRIMARY_KEYS, string_bounds, table_schema  # noqa: E402
+from marketlens.schema import DEFAULT_MANIFEST, PRIMARY_KEYS, string_bounds, table_schema  # noqa: E402
 from marketlens.session import scratch_path  # noqa: E402
 from marketlens.sources import files as IO  # noqa: E402
 from marketlens.sources.driver import MONEY  # noqa: E402
@@ -229,8 +229,8 @@ def io_report_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-register("dq_primary_keys", O.primary_keys_sql(PRIMARY_KEYS))(lambda t: A.check_primary_keys(t.as_dict()))
-register("dq_foreign_keys", O.foreign_keys_sql(FOREIGN_KEYS))(lambda t: A.check_foreign_keys(t.as_dict()))
+register("dq_primary_keys", O.primary_keys_sql())(lambda t: A.check_primary_keys(t.as_dict()))
+register("dq_foreign_keys", O.foreign_keys_sql())(lambda t: A.check_foreign_keys(t.as_dict()))
 register("dq_length_bounds", O.lengths_sql({n: string_bounds(n) for n in O.MAPPED}))(
     lambda t: A.check_lengths(t.as_dict()))
 

@@ -94,6 +94,10 @@ FOREIGN_KEYS = (
     ForeignKey("order_reviews", "order_id", "orders", "order_id"),
 )
 
+# Columns of unbounded text, which may hold line breaks.
+FREE_TEXT = {c for columns in _COLUMNS.values() for c, kind, bound in columns if kind == "str" and bound is None}
+
+
 # Load order: parents before children, one CSV file per table.
 DEFAULT_MANIFEST = tuple((f"{t}.csv", t) for t in TABLE_NAMES)
 

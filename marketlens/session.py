@@ -1,41 +1,36 @@
 """Session settings and the shared work folder.
 
 The library never builds a session behind a caller's back; ``get_session`` is
-for tests, the bench and scripts. ``work_dir`` names the shared folder that
+for the command line, tests, the bench and scripts. ``work_dir`` names the shared folder that
 file sinks and lineage cuts write to: the cluster's ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
-# Settings every report relies on: UTC wall clock for date_trunc on
-# timestamp_ntz, AQE for runtime coalescing / skew splitting / broadcast
-# conversion from measured sizes.
-REPORT_CONF = {
-    "spark.sql.session.timeZone": "UTC",
-    "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.adaptive.skewJoin.enabled": "true",
-    # split a skewed join partition even when the split costs one more
-    # exchange downstream (only happens when skew is detected)
-    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
-}
-
-
-def get_session(master: str | None = None, shuffle_partitions: int = 8,
+# What results depend on: the UTC wall clock of date_trunc and CSV timestamps.
+RESULT_CONF = {"spark.sql.session.timeZone": "UTC"}
+
+# Wished for, but never over a caller's own setting: split a skewed join
+# partition even when the split costs one more exchange downstream (only
+# happens when skew is detected).
+DEFAULT_CONF = {"spark.sql.adaptive.forceOptimizeSkewedJoin": "true"}
+
+
+def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app: str = "marketlens", extra: dict | None = None) -> SparkSession:
-    builder = (SparkSession.builder.master(master or "local[*]").appName(app)
-               .config("spark.ui.enabled", "false")
-               .config("spark.ui.showConsoleProgress", "false")
-               .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-               .config("spark.driver.memory", os.environ.get("MARKETLENS_DRIVER_MEMORY", "8g")))
-    for k, v in {**REPORT_CONF, **(extra or {})}.items():
+    """A session. Master, partition count and memory are whatever ``spark-submit`` or the
+    environment says, unless given here."""
+    builder = SparkSession.builder.appName(app).config("spark.ui.enabled", "false")
+    builder = builder.config("spark.ui.showConsoleProgress", "false")
+    if master:
+        builder = builder.master(master)
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    for k, v in (extra or {}).items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -44,26 +39,23 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
 
 
 def apply_report_conf(spark: SparkSession) -> None:
-    """Set the runtime SQL settings the reports need on an existing session."""
-    for k, v in REPORT_CONF.items():
+    """Set what results depend on, and the other settings only where the session has none."""
+    for k, v in RESULT_CONF.items():
         spark.conf.set(k, v)
+    for k, v in DEFAULT_CONF.items():
+        if spark.conf.get(k, None) is None:
+            spark.conf.set(k, v)
 
 
 def work_dir(spark: SparkSession) -> str:
     """Shared folder for written tables: the session's checkpoint directory.
 
-    Only when the session names none (a test run on one machine) is a local
-    folder made and registered as the checkpoint directory.
+    Raises when the session names none: the library chooses no folder, as one on
+    the driver's disk would be out of the executors' sight.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        try:
-            base = spark.sparkContext.getCheckpointDir()
-        except Exception:  # Spark Connect has no SparkContext
-            base = None
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="marketlens-ckpt-")
-        spark.sparkContext.setCheckpointDir(base)
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return base.rstrip("/")
 
 
@@ -83,7 +75,10 @@ def cluster_conf(shuffle_bytes: int, target_partition_bytes: int = 256 << 20,
     """
     partitions = max(200, -(-shuffle_bytes // target_partition_bytes))
     return {
-        **REPORT_CONF,
+        **RESULT_CONF, **DEFAULT_CONF,
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.shuffle.partitions": str(partitions),
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
         "spark.sql.files.maxPartitionBytes": str(max_split_bytes),

@@ -1,7 +1,8 @@
 """File sources and sinks: CSV scan, manifest load, schema conform, append, report sink.
 
-All readers are lazy and distributed (one task per file split); nothing is
-read on the driver. CSV columns are matched to the declared schema **by
+All readers are lazy and distributed (one task per file split; tables with free
+text, whose quoted fields may hold line breaks, one per file); nothing is read
+on the driver. CSV columns are matched to the declared schema **by
 header name**, as an insert by column name does, not by position.
 """
 
@@ -13,20 +14,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DecimalType, StringType, StructType
 
-from marketlens.schema import DEFAULT_MANIFEST, PRIMARY_KEYS, table_schema
+from marketlens.schema import DEFAULT_MANIFEST, FREE_TEXT, PRIMARY_KEYS, table_schema
+from marketlens.tables import DECLARED_TRANSLATION
 
-CSV_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "mode": "FAILFAST"}
+# enforceSchema=false: every file's header is checked, so a folder whose files order their
+# columns differently raises instead of being read by position.
+CSV_OPTIONS = {"header": "true", "escape": '"', "mode": "FAILFAST", "enforceSchema": "false"}
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | None = None,
              rename: Mapping[str, str] | None = None, required: Iterable[str] = (),
-             **options: str) -> DataFrame:
-    """Header CSV (comma, quoted text that may span lines) -> frame.
+             multi_line: bool | None = None, **options: str) -> DataFrame:
+    """Header CSV (comma, quoted text) -> frame.
+
+    ``multi_line`` is needed where quoted text may hold line breaks (by default: where
+    the schema declares unbounded text); such a file is read by one task, so load
+    such a table as many files. Others are read in splits.
 
     Every field is read as text and then conformed to ``schema`` by name
     (see :func:`conform`); without a schema the text columns are returned.
     """
-    df = spark.read.options(**{**CSV_OPTIONS, **options}).csv(path)
+    if multi_line is None:
+        multi_line = schema is not None and any(c in FREE_TEXT for c in schema.fieldNames())
+    df = spark.read.options(**{**CSV_OPTIONS, "multiLine": str(multi_line).lower(), **options}).csv(path)
     return df if schema is None else conform(df, schema, rename, required)
 
 
@@ -78,6 +88,7 @@ def load_tables(spark: SparkSession, directory: str,
     """
     out = {}
     for filename, table in manifest:
+        table = "category_translation" if table == DECLARED_TRANSLATION else table
         path = f"{directory.rstrip('/')}/{filename}"
         schema = table_schema(table, id_type, money_type)
         keys = PRIMARY_KEYS.get(table, ())
@@ -107,8 +118,16 @@ def append_table(df: DataFrame, target: str, fmt: str = "parquet") -> None:
         writer.saveAsTable(target)
 
 
+def read_report(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """A written report (I11) as a frame."""
+    return read_csv(spark, path) if fmt == "csv" else spark.read.format(fmt).load(path)
+
+
 def write_report(df: DataFrame, directory: str, name: str, fmt: str = "parquet") -> str:
     """One output per report, ``{directory}/{name}``, replaced on each run."""
     path = f"{directory.rstrip('/')}/{name}"
-    df.write.mode("overwrite").format(fmt).save(path)
+    if fmt == "csv":
+        write_csv(df, path)
+    else:
+        df.write.mode("overwrite").format(fmt).save(path)
     return path

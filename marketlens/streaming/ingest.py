@@ -24,7 +24,7 @@ from marketlens.sources.files import CSV_OPTIONS, conform
 def start_csv_append(spark: SparkSession, source_dir: str, schema: StructType, target_path: str,
                      checkpoint_path: str, header: Sequence[str] | None = None,
                      rename: Mapping[str, str] | None = None, required: Iterable[str] = (),
-                     fmt: str = "parquet", available_now: bool = True) -> StreamingQuery:
+                     fmt: str = "parquet", available_now: bool = True, multi_line: bool = False) -> StreamingQuery:
     """Start appending new CSV files of ``source_dir`` to ``target_path``.
 
     ``header`` lists the files' columns in order (default: the declared
@@ -33,7 +33,7 @@ def start_csv_append(spark: SparkSession, source_dir: str, schema: StructType, t
     columns = list(header) if header is not None else schema.fieldNames()
     text_schema = StructType([StructField(c, StringType(), True) for c in columns])
     raw = (spark.readStream.schema(text_schema)
-           .options(**{**CSV_OPTIONS, "mode": "FAILFAST", "enforceSchema": "false"})
+           .options(**{**CSV_OPTIONS, "multiLine": str(multi_line).lower()})
            .csv(source_dir))
     typed = conform(raw, schema, rename, required)
     writer = (typed.writeStream.format(fmt).outputMode("append")

@@ -13,6 +13,7 @@ from __future__ import annotations
 import os
 import re
 import sys
+import tempfile
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
@@ -34,7 +35,7 @@ def clean(plan: str) -> str:
 
 def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    spark = get_session("local[4]", shuffle_partitions=200)
+    spark = get_session("local[4]", shuffle_partitions=200, extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="marketlens-")})
     spark.conf.set("spark.sql.maxMetadataStringLength", "400")
     t = stage_tables(spark, driver_tables(spark, sf_dir), scratch_path(spark, "plans"), files=4)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")

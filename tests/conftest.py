@@ -15,9 +15,11 @@ from marketlens.tables import Tables  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    from marketlens.session import get_session, work_dir
-    s = get_session("local[4]", shuffle_partitions=4)
-    work_dir(s)   # registers a local checkpoint folder only when the session names none
+    import tempfile
+
+    from marketlens.session import get_session
+    s = get_session("local[4]", shuffle_partitions=4, extra={
+        "spark.driver.memory": "8g", "spark.checkpoint.dir": tempfile.mkdtemp(prefix="marketlens-tests-")})
     yield s
     s.stop()
 

@@ -82,13 +82,10 @@ def test_segments(spark):
                    "Champion (6+ orders)", "Champion (6+ orders)"]
 
 
-def test_sum_cents_exact_and_null_aware(spark):
-    df = spark.createDataFrame([("a", Decimal("0.10")), ("a", Decimal("0.20")), ("a", None),
-                                ("b", None), ("c", Decimal("99999999.99")), ("c", Decimal("0.01"))],
-                               "k string, x decimal(12,2)")
-    got = {r.k: r.s for r in df.groupBy("k").agg(N.sum_cents("x").alias("s")).collect()}
-    assert got == {"a": Decimal("0.30"), "b": None, "c": Decimal("100000000.00")}
-    assert dict(df.groupBy("k").agg(N.sum_cents("x").alias("s")).dtypes)["s"] == "decimal(22,2)"
+def test_money_of_any_scale_is_not_cut(spark):
+    df = spark.createDataFrame([("a", Decimal("0.0099")), ("a", Decimal("0.0099")), ("b", None)], "k string, x decimal(18,4)")
+    got = {r.k: (r.s, r.m) for r in df.groupBy("k").agg(N.sum_money("x").alias("s"), N.avg_exact("x", 4).alias("m")).collect()}
+    assert got == {"a": (0.02, 0.0099), "b": (None, None)}
 
 
 def test_to_ts_and_cluster_conf(spark):

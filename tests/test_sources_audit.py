@@ -106,3 +106,77 @@ def test_audits_find_duplicates_orphans_and_long_values(spark, fixture_tables):
           for r in A.check_lengths(Tables.from_dict(t).as_dict()).collect()}
     assert ln[("customers", "customer_state")] == (2, 2, 0)
     assert ln[("orders", "order_status")] == (20, 9, 0)
+
+
+def _csv(folder, name, text):
+    folder.mkdir(exist_ok=True)
+    (folder / name).write_text(text)
+
+
+def test_csv_files_with_other_column_order_raise(spark, tmp_path):
+    from marketlens.sources.files import read_csv
+    for second in ("payment_type,order_id\nboleto,o2\n", "value,order_id\n3,o2\n"):
+        folder = tmp_path / second[:5]
+        _csv(folder, "a.csv", "order_id," + ("payment_type" if second.startswith("p") else "value") + "\no1,9\n")
+        _csv(folder, "b.csv", second)
+        with pytest.raises(Exception, match="header|CSV"):
+            read_csv(spark, str(folder)).collect()
+
+
+def test_plain_csv_is_read_in_splits_and_free_text_whole(spark, tmp_path):
+    from marketlens.schema import FREE_TEXT
+    from marketlens.sources.files import read_csv
+    _csv(tmp_path / "big", "a.csv", "id,v\n" + "".join(f"{i},{'x' * 50}\n" for i in range(40_000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256k")
+    try:
+        df = read_csv(spark, str(tmp_path / "big"))
+        assert df.rdd.getNumPartitions() > 1 and df.count() == 40_000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    _csv(tmp_path / "text", "a.csv", 'id,v\n1,"two\nlines"\n')
+    assert [tuple(r) for r in read_csv(spark, str(tmp_path / "text"), multi_line=True).collect()] == [("1", "two\nlines")]
+    assert FREE_TEXT == {"review_comment_message"}
+
+
+def test_csv_report_has_a_header(spark, tmp_path):
+    from marketlens.sources.files import read_report, write_report
+    path = write_report(spark.createDataFrame([(1, "a")], "n int, s string"), str(tmp_path), "r", "csv")
+    assert [r.asDict() for r in read_report(spark, path, "csv").collect()] == [{"n": "1", "s": "a"}]
+
+
+def test_settings_of_the_caller_survive(spark):
+    from marketlens.session import apply_report_conf
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "false")
+    try:
+        apply_report_conf(spark)
+        assert spark.conf.get("spark.sql.adaptive.forceOptimizeSkewedJoin") == "false"
+        assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == before
+        assert spark.conf.get("spark.sql.session.timeZone") == "UTC"
+    finally:
+        spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+
+
+def test_money_must_be_decimal_and_declared_name_is_accepted(fixture_tables):
+    frames = fixture_tables.as_dict()
+    renamed = {("product_category_translation" if n == "category_translation" else n): f for n, f in frames.items()}
+    assert type(fixture_tables).from_dict(renamed).category_translation is frames["category_translation"]
+    items = frames["order_items"].withColumn("price", frames["order_items"].price.cast("double"))
+    with pytest.raises(TypeError, match="DECIMAL"):
+        type(fixture_tables).from_dict({**frames, "order_items": items})
+
+
+def test_chart_k_is_not_capped(spark, fixture_tables):
+    from marketlens.plans import charts
+    many = spark.range(30).selectExpr("concat('p', id) AS product_id", "concat('c', id) AS product_category_name")
+    items = spark.range(30).selectExpr("'o1' AS order_id", "int(id) AS order_item_id", "concat('p', id) AS product_id",
+                                       "'s1' AS seller_id", "cast(id + 1 as decimal(10,2)) AS price",
+                                       "cast(1 as decimal(10,2)) AS freight_value")
+    t = type(fixture_tables).from_dict({**fixture_tables.as_dict(), "products": many, "order_items": items})
+    assert charts.chart_category_bars(t, k=30).count() == 30
+    assert charts.chart_review_bars(t, min_reviews=0, k=30).count() == 30
+
+
+def test_params_parse_booleans():
+    from marketlens.__main__ import parse_params
+    assert parse_params(["q01_monthly_revenue.narrow=False"]) == {"q01_monthly_revenue": {"narrow": False}}
