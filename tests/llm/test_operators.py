@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import string
 import zlib
 
 import numpy as np
@@ -298,17 +299,21 @@ def test_bpe_exact_merge_is_needed_and_right():
 
 # --------------------------------------------------------------------------- 9
 def plain_line_words(line):
-    return [w for w in line.lower().translate({ord(c): " " for c in lines._CUT}).split(" ") if w]
+    cut = set(" \t\r\x0b\x0c\xa0¡«»¿·" + string.punctuation) | {chr(c) for c in range(0x2010, 0x2028)}
+    return "".join(" " if c in cut else c for c in line.lower()).split(" ")
 
 
 def test_line_simhash_and_candidates_equal_brute_force(spark):
-    import xxhash
-    occ = lines.occurrences(docs(spark).select("doc_id", "text"), 5)
-    sims = {(r.doc_id, r.pos): r.sim for r in lines.simhashes(occ).collect()}
-    for r in occ.limit(200).collect():
-        h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in r.words]
-        v = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
-        assert sims[r.doc_id, r.pos] & (2 ** 64 - 1) == v
+    sized = [(-n, " ".join(f"w{i * n % 97}…" for i in range(n))) for n in (4, 5, 62, 63, 64, 65, 126, 127, 128, 254, 255, 900)]
+    texts = docs(spark).select("doc_id", "text").limit(150).unionByName(spark.createDataFrame(sized, "doc_id long, text string")).collect()
+    got = {(r.doc_id, r.pos): r.sim for r in lines.occurrences(spark.createDataFrame(texts, "doc_id long, text string"), 5).collect()}
+    want = {}
+    for r in texts:
+        for pos, line in enumerate((r.text or "").split("\n")):
+            if len([w for w in plain_line_words(line) if w]) >= 5:
+                v = lines_sim(line)
+                want[r.doc_id, pos] = v - 2 ** 64 if v >> 63 else v
+    assert got == want and len(want) > 150
     rng = np.random.default_rng(1)
     base = rng.integers(-2 ** 63, 2 ** 63, 40).tolist()
     fps = [b ^ int(np.bitwise_xor.reduce(np.int64(1) << rng.integers(0, 63, rng.integers(0, 5)).astype(np.int64), initial=0)) for b in base for _ in range(4)]
@@ -333,11 +338,54 @@ def test_lines_keep_the_first_of_each_group(spark, none):
 
 def lines_sim(line):
     import xxhash
-    words = plain_line_words(line)
+    words = [w for w in plain_line_words(line) if w]
     h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in words]
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def test_edit_similarity_equals_brute_force(spark):
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, old = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+        return row[-1]
+
+    rng, pairs = np.random.default_rng(5), [("", ""), ("", "a"), ("é" * 10, "é" * 8), ("abcde", "abcdx")]
+    for n in (1, 2, 3, 5, 9, 10, 11, 20, 40, 77):
+        for _ in range(30):
+            a = list(rng.choice(list("abcé "), n))
+            b = list(a)
+            for _ in range(rng.integers(0, n // 2 + 2)):   # edits at the start, at the end or anywhere
+                at = int(rng.choice([0, len(b), rng.integers(0, len(b) + 1)]))
+                b[at:at + int(rng.integers(0, 2))] = list(rng.choice(list("abcé "), rng.integers(0, 2)))
+            pairs.append(("".join(a), "".join(b)))
+    got = [r.s for r in spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string").orderBy("i")
+           .select(lines.similar(F.col("a"), F.col("b"), 0.8).alias("s")).collect()]
+    want = [5 * distance(a, b) <= max(len(a), len(b)) for a, b in pairs]
+    assert got == want and 20 < sum(want) < len(want) - 20
+
+
+def test_a_dense_group_of_lines_keeps_one(spark):
+    words = [f"term{i}" for i in range(60)]
+    copies = [" ".join(words[:i] + [f"{words[i]}x"] + words[i + 1:]) for i in range(60)]
+    sims = {c: lines_sim(c) for c in copies}
+    group = {c: c for c in copies}
+
+    def top(c):
+        while group[c] != c:
+            c = group[c]
+        return c
+
+    for a in copies:
+        for b in copies:
+            if (sims[a] ^ sims[b]).bit_count() <= 3:   # one word apart each: similar
+                group[max(top(a), top(b))] = min(top(a), top(b))
+    df = spark.createDataFrame(list(enumerate(copies)), "doc_id long, text string")
+    assert lines.dedup_lines(df).where("removed_lines = 0").count() == len({top(c) for c in copies})
+
+
 def test_lines_of_the_odd_table(odd):
     got = {(r.doc_id, r.removed_lines) for r in lines.dedup_lines(odd).collect()}
     assert {(1, 0), (2, 0), (3, 0), (5, 0), (6, 0), (None, 1)} <= got
