@@ -35,7 +35,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops lines that equal or nearly equal an earlier one; documents stay, with their new length."""
-    return lines.dedup_lines(docs.select(*COLUMNS)).select(*COLUMNS)
+    return lines.dedup_lines(docs.select(*COLUMNS), whole=True).select(*COLUMNS)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,7 +53,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = lines.dedup_lines(_table(spark, sf_dir, "documents"))
+    kept = lines.dedup_lines(_table(spark, sf_dir, "documents"), whole=True)
     return kept.select("doc_id", "removed_lines", F.length("text").cast("long").alias("kept_chars"),
                        F.md5(F.col("text").cast("binary")).alias("kept_md5"))
 

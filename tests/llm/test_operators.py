@@ -391,6 +391,22 @@ def test_lines_of_the_odd_table(odd):
     assert {(1, 0), (2, 0), (3, 0), (5, 0), (6, 0), (None, 1)} <= got
 
 
+def op9(spark, tmp_path, texts):
+    from marketlens.llm import registry
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    return {r.doc_id: r.removed_lines for r in registry.op9_lines(spark, str(tmp_path)).collect()}
+
+
+def test_lines_with_a_changed_word_or_letter_are_found(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list(string.ascii_lowercase), rng.integers(3, 9)))
+    base = [[word() for _ in range(n)] for n in (10, 20, 40) for _ in range(30)]
+    changed = [[*w[:4], w[4] + "q" if i % 2 else word(), *w[5:]] for i, w in enumerate(base)]
+    got = op9(spark, tmp_path, [" ".join(w) for w in base + changed])
+    assert not any(got[i] for i in range(90))
+    assert all(sum(got[90 + g + i] for i in range(30)) >= 24 for g in (0, 30, 60))
+
+
 # --------------------------------------------------------------------------- pipeline
 def test_pipeline_stages_take_effect(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
