@@ -428,3 +428,16 @@ def test_pipeline_stages_take_effect(spark):
     assert 1000 > counts["quality"] >= counts["language"] == counts["lines"] > counts["near_duplicates"]
     total = df.groupBy("doc_id").agg(F.sum("length").alias("n"), F.first("doc_tokens").alias("t"))
     assert total.where("n <> t").count() == 0
+
+
+def test_language_stage_drops_foreign_texts_and_letter_junk(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = np.random.default_rng(4)
+    junk = ["".join(rng.choice(list(a + "    "), 400)) for a in (string.ascii_lowercase, "абвгдежзийклмнопрстуфхцчшщъыьэюя") for _ in range(20)]
+    junk += ["Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+             "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью."]
+    clean = docs(spark).select(*corpus_pipeline.COLUMNS).where("n_chars >= 100")
+    rows = spark.createDataFrame([(10 ** 9 + i, t, None, "x", len(t)) for i, t in enumerate(junk)], clean.schema)
+    kept = {r.doc_id for r in corpus_pipeline.language_stage(spark, clean.unionByName(rows), SF).collect()}
+    assert not [i for i in kept if i >= 10 ** 9]
+    assert len(kept) >= 0.9 * clean.select("doc_id").distinct().count()
