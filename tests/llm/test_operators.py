@@ -407,6 +407,16 @@ def test_lines_with_a_changed_word_or_letter_are_found(spark, tmp_path):
     assert all(sum(got[90 + g + i] for i in range(30)) >= 24 for g in (0, 30, 60))
 
 
+def test_short_lines_and_lines_without_spaces_are_deduplicated(spark, tmp_path):
+    han = ["".join(chr(0x4E00 + c) for c in np.random.default_rng(i).integers(0, 3000, 40)) for i in range(10)]
+    near = [h[:20] + "龜" + h[21:] for h in han]
+    texts = ["Contents\n \n---\nown", "contents:\n\n\t\n---\n***\nother", *han, *han, *near]
+    got = op9(spark, tmp_path, texts)
+    assert got[0] == 0 and got[1] == 2
+    assert [got[i] for i in range(2, 12)] == [0] * 10 and [got[i] for i in range(12, 22)] == [1] * 10
+    assert sum(got[i] for i in range(22, 32)) >= 8
+
+
 # --------------------------------------------------------------------------- pipeline
 def test_pipeline_stages_take_effect(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
