@@ -50,14 +50,16 @@ def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each SimHash group the document with the smallest doc_id (3-word shingles, 2 bits).
-
-    Rows that share a doc_id are one document; rows without one cannot be told apart and stay.
-    """
-    docs = docs.select(*COLUMNS)
-    found = simhash.near_duplicates(docs, words=3, max_bits=2)
-    drop = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("drop_id")).distinct(), "pipeline-drop")
-    return docs.join(sized_broadcast(drop, drop.count()), F.col("doc_id") == F.col("drop_id"), "left_anti").select(*COLUMNS)
+    """Keeps one row of each SimHash group (3-word shingles, 2 bits): that with the smallest doc_id; rows
+    without one come last, and among rows with the same one a hash of the row decides."""
+    rows = written(docs.select(*COLUMNS).withColumn("row_id", F.monotonically_increasing_id()), "pipeline-rows")
+    found = simhash.near_duplicates(rows.select(F.col("row_id").alias("doc_id"), "text"), words=3, max_bits=2)
+    order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", F.xxhash64(*COLUMNS).alias("hash"), "row_id")
+    grouped = written(rows.select("row_id", order.alias("order"))
+                      .join(found.select(F.col("doc_id").alias("row_id"), "component_id"), "row_id"), "pipeline-groups")
+    first = grouped.groupBy("component_id").agg(F.min("order").getField("row_id").alias("row_id"))
+    drop = written(grouped.select("row_id").join(first, "row_id", "left_anti"), "pipeline-drop")
+    return rows.join(sized_broadcast(drop, drop.count()), "row_id", "left_anti").select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -451,3 +451,13 @@ def test_language_stage_drops_foreign_texts_and_letter_junk(spark):
     kept = {r.doc_id for r in corpus_pipeline.language_stage(spark, clean.unionByName(rows), SF).collect()}
     assert not [i for i in kept if i >= 10 ** 9]
     assert len(kept) >= 0.9 * clean.select("doc_id").distinct().count()
+
+
+def test_near_duplicate_stage_keeps_one_row_of_a_group(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    a, b, c = (" ".join(f"{w}{i}" for i in range(40)) for w in ("alpha", "beta", "gamma"))
+    rows = [(3, a, "en", "s", 1), (3, a, "en", "s", 1), (None, a, "en", "s", 1), (2, b, "en", "s", 1), (3, b, "en", "s", 1),
+            (None, c, "en", "s", 1), (None, c, "en", "t", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicate_stage(spark, df, SF).collect()), key=lambda r: r[1])
+    assert got == [(3, a), (2, b), (None, c)]
