@@ -3,7 +3,8 @@
 A table's hash rotates a unit vector by three rounds of random signs and a fast
 Hadamard transform, twice over, and notes the nearest signed axis of either
 rotation: a cell and a sub-cell. A query probes, over all tables, the
-``probes`` (cell, sub-cell) pairs whose two axes it is nearest to in sum.
+(cell, sub-cell) pairs whose two axes it is nearest to in sum: ``probes`` of
+them, or a tenth of all pairs where that is more.
 Vectors are indexed under their cells; a cell too large for one task is dealt
 out in parts. Cells and probes meet in a shuffle, and each task reranks the
 members of probed sub-cells by exact cosine on the original vectors, sending on
@@ -29,6 +30,7 @@ from marketlens.llm.common import written
 from marketlens.llm.vectors import usable
 
 SEED = 5
+SHARE = 0.1     # of all pairs of cells that are probed at least
 PART = 8192     # members of a cell that one task reranks at a time
 
 
@@ -95,7 +97,7 @@ def _probe(tables: int, probes: int):
                 width = near[0].shape[1]
                 for k in range(len(at)):
                     sums = np.concatenate([np.add.outer(near[2 * t][k], near[2 * t + 1][k]).ravel() for t in range(tables)])
-                    most = len(sums) if probes is None else min(probes, len(sums))
+                    most = len(sums) if probes is None else min(max(probes, int(SHARE * len(sums))), len(sums))
                     cut = float(np.partition(sums, len(sums) - most)[len(sums) - most])
                     t, cell = np.nonzero((sums.reshape(tables, width, width) >= cut).any(axis=2))
                     n = len(t)

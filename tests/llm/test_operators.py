@@ -246,6 +246,21 @@ def test_nearest_recall_ties_and_odd_vectors(spark):
     assert ann.nearest(df.limit(0)).count() == 0
 
 
+def test_nearest_recall_of_the_given_vectors(spark):
+    from marketlens.llm import registry
+    sf = os.path.join(os.path.dirname(SF), "sf0.1")
+    rows = {r.vec_id: r.embedding for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    ids = np.array(sorted(i for i, v in rows.items() if i is not None and v and len(v) == 64 and np.isfinite(v).all() and any(v)))
+    unit = np.array([np.array(rows[i], float) / np.linalg.norm(np.array(rows[i], float)) for i in ids])
+    got, hits = {}, 0
+    for r in registry.op5_nearest(spark, sf).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    for q, found in got.items():
+        cos = np.where(ids == q, -9, np.round(unit @ unit[np.searchsorted(ids, q)], 12))
+        hits += len(found & set(ids[np.lexsort((ids, -cos))[:5]].tolist()))
+    assert len(got) >= 40 and hits >= 0.95 * 5 * len(got)
+
+
 def test_top_k_equals_brute_force(spark):
     rows, df = vectors(spark)
     ok = {i: np.floor(1024 * np.array(v, np.float64)).astype(int) for i, v in rows
