@@ -1,4 +1,4 @@
-"""Queries op1 to op10 over the generated tables, with their DuckDB SQL where SQL can express them."""
+"""Queries op1 to op13 over the generated tables, with their DuckDB SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import ann, bpe, langid, lines, packing, quality, simhash, token_files, topk, warc
+from marketlens.llm import ann, bpe, langid, lines, packing, phrases, quality, simhash, token_files, topk, warc
 from marketlens.llm.common import scratch
 
 WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -62,8 +62,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS), end_id=2, size=4096)
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"), least=30, longest=4, top=2000)
+
+
 QUERIES = {f.__name__: f for f in (op1_warc, op2_simhash, op3_token_files, op4_language, op5_nearest, op6_quality,
-                                   op7_topk, op8_bpe, op9_lines, op10_packing)}
+                                   op7_topk, op8_bpe, op9_lines, op10_packing, op13_phrases)}
 
 ORACLE = {
     "op1_warc": """
@@ -92,4 +96,38 @@ WITH r AS (
     vec_id, score FROM s
 )
 SELECT * FROM k WHERE rank <= 10""",
+    "op13_phrases": r"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), word AS (
+  SELECT lang, [x FOR x IN regexp_split_to_array(piece, '[\x20\x09]+') IF x <> ''] AS w FROM piece
+), gram AS (
+  SELECT lang, w, m, unnest(generate_series(1, len(w) - m + 1)) AS i
+  FROM word, (VALUES (1), (2), (3), (4)) s(m) WHERE len(w) >= m
+), f AS (
+  SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS phrase, count(*) AS f FROM gram GROUP BY ALL
+), total AS (
+  SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang
+), cand AS (
+  SELECT * FROM f WHERE m > 1 AND f >= 30
+), inside AS (
+  SELECT DISTINCT s.lang, s.phrase FROM cand s JOIN cand l
+    ON l.lang = s.lang AND l.m > s.m AND contains(' ' || l.phrase || ' ', ' ' || s.phrase || ' ') AND 100 * l.f >= 80 * s.f
+), cut AS (
+  SELECT c.lang, c.phrase, c.f AS a, k, string_split(c.phrase, ' ') AS w, m
+  FROM cand c ANTI JOIN inside USING (lang, phrase), (VALUES (1), (2), (3)) s(k) WHERE k < m
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, c.k, l.f AS l, r.f AS r,
+    CAST(CAST(2000000 AS HUGEINT) * c.a // (CAST(l.f AS HUGEINT) + r.f) AS BIGINT) AS score
+  FROM cut c JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1 : c.k], ' ')
+    JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[c.k + 1 : c.m], ' ')
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, c.k) = 1
+)
+SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, phrase) AS rank,
+  phrase, a, l, r, n, score
+FROM scored s JOIN total USING (lang)
+QUALIFY rank <= 2000""",
 }
