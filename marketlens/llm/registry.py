@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import ann, bpe, langid, lines, packing, phrases, quality, simhash, token_files, topk, warc
+from marketlens.llm import ann, blockjoin, bpe, langid, lines, packing, phrases, quality, simhash, token_files, topk, warc
 from marketlens.llm.common import scratch
 
 WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -62,12 +62,16 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS), end_id=2, size=4096)
 
 
+def op12_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blockjoin.near_duplicates(_table(spark, sf_dir, "embeddings"), least=0.93)
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(_table(spark, sf_dir, "documents"), least=30, longest=4, top=2000)
 
 
 QUERIES = {f.__name__: f for f in (op1_warc, op2_simhash, op3_token_files, op4_language, op5_nearest, op6_quality,
-                                   op7_topk, op8_bpe, op9_lines, op10_packing, op13_phrases)}
+                                   op7_topk, op8_bpe, op9_lines, op10_packing, op12_vectors, op13_phrases)}
 
 ORACLE = {
     "op1_warc": """
