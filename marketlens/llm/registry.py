@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import ann, blockjoin, bpe, langid, lines, packing, phrases, quality, simhash, token_files, topk, warc
+from marketlens.llm import ann, blockjoin, bpe, langid, lines, negatives, packing, phrases, quality, simhash, token_files, topk, warc
 from marketlens.llm.common import scratch
 
 WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -62,6 +62,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS), end_id=2, size=4096)
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    moved = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.mine(moved, every=100, positives=5, negatives=10, low_pct=30, high_pct=90, scale=256)
+
+
 def op12_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blockjoin.near_duplicates(_table(spark, sf_dir, "embeddings"), least=0.93)
 
@@ -71,7 +77,7 @@ def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_warc, op2_simhash, op3_token_files, op4_language, op5_nearest, op6_quality,
-                                   op7_topk, op8_bpe, op9_lines, op10_packing, op12_vectors, op13_phrases)}
+                                   op7_topk, op8_bpe, op9_lines, op10_packing, op11_negatives, op12_vectors, op13_phrases)}
 
 ORACLE = {
     "op1_warc": """
@@ -100,6 +106,42 @@ WITH r AS (
     vec_id, score FROM s
 )
 SELECT * FROM k WHERE rank <= 10""",
+    "op11_negatives": """
+WITH r AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0
+), s AS (
+  SELECT q.vec_id AS anchor_id, c.vec_id, q.label = c.label AS same,
+    CAST(list_sum([a[1] * a[2] FOR a IN list_zip(q.v, c.v)]) AS BIGINT) AS score
+  FROM r q JOIN r c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, positive_id,
+  CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+  AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10""",
+    "op12_vectors": """
+WITH RECURSIVE r AS (
+  SELECT vec_id, label, [CAST(x AS DOUBLE) FOR x IN embedding] AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0
+    AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0
+    AND len([x FOR x IN embedding IF x <> 0]) > 0
+), link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM r a JOIN r b
+    ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.93
+), reach AS (
+  SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a
+), least AS (SELECT a, min(b) AS b FROM reach GROUP BY a), n AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, least(e.vec_id, coalesce(l.b, e.vec_id)) AS component_id,
+  e.vec_id = least(e.vec_id, coalesce(l.b, e.vec_id)) AS kept
+FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN least l ON l.a = e.vec_id""",
     "op13_phrases": r"""
 WITH piece AS (
   SELECT coalesce(lang, 'und') AS lang,
