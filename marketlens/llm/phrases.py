@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from marketlens.llm.common import sized_broadcast, written
 
 FILTER_BITS = 27          # the bitmap has 16 MB at most
-CHUNK = 16 << 20          # bytes of text counted at a time (one longer text: at once)
+CHUNK = 8 << 20           # bytes of text counted at a time (one longer text: at once)
 
 _TABLE = bytearray(range(256))
 _TABLE[65:91] = range(97, 123)
@@ -51,14 +51,19 @@ _STRIPE = pa.schema([("lang", pa.string()), ("prefix", pa.string()), ("part", pa
 def _words(raw: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct words, the number of each word of the text, and the piece it is in."""
     a = np.frombuffer(raw.translate(_TABLE), np.uint8)
-    inside = (a != 32) & (a != 10)
-    edge = np.diff(np.concatenate([[0], inside.view(np.int8), [0]]))
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    offsets = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int64)
-    words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(a[inside])])
+    line = np.flatnonzero(a == 10)
+    inside = a > 32
+    inside |= (a < 32) & (a != 10)
+    edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
+    start, length = edge[::2], edge[1::2] - edge[::2]
+    piece = np.searchsorted(line, start).astype(np.int32)
+    # 64-bit offsets: a single text may be of any length
+    offsets = np.concatenate([[0], np.cumsum(length)])
+    del edge, start, length
+    words = pa.Array.from_buffers(pa.large_binary(), len(piece), [None, pa.py_buffer(offsets), pa.py_buffer(a[inside])])
+    del inside
     coded = words.dictionary_encode()
-    piece = np.cumsum(a == 10, dtype=np.int64)[start]
-    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), piece
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), piece
 
 
 def _word_hashes(words: list[bytes], lang: str) -> np.ndarray:
@@ -99,14 +104,19 @@ def _count(raw: bytes, lang: str, level: int, bitmap: np.ndarray | None, bits: i
         ok = _listed(bitmap, bits, h)
         last = len(ids) - level
         at = np.flatnonzero(ok[:last] & ok[1:last + 1] & (piece[:last] == piece[level:]))
+        del h, ok
         if not len(at):
             return None
-        first, group = np.unique(ids[at], return_inverse=True)
-        spelled = [first]
+        used = np.zeros(v, bool)
+        used[ids[at]] = True
+        group, spelled = (np.cumsum(used) - 1)[ids[at]], [np.flatnonzero(used)]
         for k in range(1, level):
             key, group = np.unique(group * v + ids[at + k], return_inverse=True)
             spelled = [s[key // v] for s in spelled] + [key % v]
-        pair, n = np.unique(group * v + ids[at + level], return_counts=True)
+        group *= v
+        group += ids[at + level]
+        del at
+        pair, n = np.unique(group, return_counts=True)
         group, following = pair // v, pair % v
         columns = [words.take(pa.array(s)).cast(pa.large_string()) for s in spelled]
         prefixes = (pc.binary_join_element_wise(*columns, pa.scalar(" ", pa.large_string())) if level > 1 else columns[0]).cast(pa.string())
