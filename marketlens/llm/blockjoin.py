@@ -1,7 +1,7 @@
 """Embedding near-duplicates by a subspace pigeonhole join.
 
 Unit vectors are rotated (signed Hadamard rounds) and split into blocks of up to
-``WIDTH`` dimensions. The squared distance of two vectors is the sum of that of their
+16 dimensions. The squared distance of two vectors is the sum of that of their
 blocks, so a pair within the limit is, in one block at least, within the block's share
 of it, which is proportional to the block's width. Every block is joined by range under
 that budget:
@@ -23,6 +23,7 @@ vector with a count.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +34,17 @@ from pyspark.sql import functions as F
 from marketlens.llm.ann import rotate
 from marketlens.llm.common import connected_components, written
 
-WIDTH = 16       # dimensions of a block
-TILE = 2048      # vectors of a tile at most (and 1 MB, but at least a cell)
-CELL = 256       # vectors of a cell, the part of a tile compared at a time
-FAN_BITS = 6     # children of a node of the box index: 64
+
+
+class Shape(NamedTuple):
+    """Sizes of the join; results do not depend on them."""
+
+    width: int = 16      # dimensions of a block
+    tile: int = 2048     # vectors of a tile at most (and 1 MB, but at least a cell)
+    cell: int = 256      # vectors of a cell, the part of a tile compared at a time
+    fan_bits: int = 6    # children of a node of the box index, as a power of two
+
+
 CHUNK = 1 << 21  # numbers in the differences verified at a time
 SLACK = 1e-9     # added to the squared limit before it is dealt to the blocks
 
@@ -46,19 +54,19 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _blocks(d: int) -> list[slice]:
+def _blocks(d: int, width: int) -> list[slice]:
     """The blocks of rotated vectors of length ``d`` (padded to a power of two)."""
     n = 1 << max(d - 1, 0).bit_length()
-    return [slice(i, min(i + WIDTH, n)) for i in range(0, n, WIDTH)]
+    return [slice(i, min(i + width, n)) for i in range(0, n, width)]
 
 
-def _tile_rows(d: int) -> int:
-    return min(TILE, max(CELL, (1 << 20) // (8 * d)))
+def _tile_rows(d: int, shape: Shape) -> int:
+    return min(shape.tile, max(shape.cell, (1 << 20) // (8 * d)))
 
 
-def _budgets(d: int, limit: float) -> list[float]:
-    n = 1 << max(d - 1, 0).bit_length()
-    return [(limit + SLACK) * (b.stop - b.start) / n for b in _blocks(d)]
+def _budgets(d: int, width: int, limit: float) -> list[float]:
+    blocks = _blocks(d, width)
+    return [(limit + SLACK) * (b.stop - b.start) / blocks[-1].stop for b in blocks]
 
 
 def _order(y: np.ndarray) -> np.ndarray:
@@ -87,17 +95,20 @@ def _matrices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[np.ndarray,
 _KEYED_DDL = "key string, z long, g long, n long, v array<double>"
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keyed(width: int):
     """Every vector once per block: the block's key and the place on its space-filling curve."""
-    for batch in batches:
-        for at, x in _matrices(batch, "v"):
-            y, d = rotate(_unit(x), 0), x.shape[1]
-            rows = batch.take(pa.array(at))
-            labels = rows.column(0).to_pylist()
-            for i, b in enumerate(_blocks(d)):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([f"{label}/{d}/{i}" for label in labels], pa.string()), pa.array(_order(y[:, b])),
-                     *rows.columns[1:]], names=["key", "z", "g", "n", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, x in _matrices(batch, "v"):
+                y, d = rotate(_unit(x), 0), x.shape[1]
+                rows = batch.take(pa.array(at))
+                labels = rows.column(0).to_pylist()
+                for i, b in enumerate(_blocks(d, width)):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([f"{label}/{d}/{i}" for label in labels], pa.string()), pa.array(_order(y[:, b])),
+                         *rows.columns[1:]], names=["key", "z", "g", "n", "v"])
+    return run
 
 
 _TILE_DDL = "key string, id long, lo array<double>, hi array<double>, g binary, n binary, x binary"
@@ -105,62 +116,64 @@ _TILE = pa.schema([("key", pa.string()), ("id", pa.int64()), ("lo", pa.list_(pa.
                    ("g", pa.binary()), ("n", pa.binary()), ("x", pa.binary())])
 
 
-def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tiles(shape: Shape):
     """Sorted rows of one range partition -> tiles of one key each, numbered (partition, position)."""
-    base, made, key, held, size = TaskContext.get().partitionId() << 40, 0, None, [], 0
 
-    def tile() -> pa.RecordBatch:
+    def tile(key: str, number: int, held: list) -> pa.RecordBatch:
         g, n, x = (np.concatenate(c) for c in zip(*held))
         d, block = (int(p) for p in key.rsplit("/", 2)[1:])
-        y = rotate(_unit(x), 0)[:, _blocks(d)[block]]
+        y = rotate(_unit(x), 0)[:, _blocks(d, shape.width)[block]]
         single = x.astype(np.float32)
         if (single == x).all():     # float vectors travel as floats
             x = single
-        return pa.RecordBatch.from_pylist([{"key": key, "id": base + made, "lo": y.min(0), "hi": y.max(0), "g": g.tobytes(),
+        return pa.RecordBatch.from_pylist([{"key": key, "id": number, "lo": y.min(0), "hi": y.max(0), "g": g.tobytes(),
                                             "n": n.tobytes(), "x": x.tobytes()}], _TILE)
 
-    for batch in batches:
-        keys = batch.column(0).to_pylist()
-        g, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in (2, 3))
-        v = batch.column(4)
-        i = 0
-        while i < len(keys):
-            if held and keys[i] != key:
-                yield tile()
-                made, held, size = made + 1, [], 0
-            key, j = keys[i], i
-            most = _tile_rows(int(key.rsplit("/", 2)[1]))
-            while j < len(keys) and keys[j] == key and size + j - i < most:
-                j += 1
-            part = v.slice(i, j - i)
-            held.append((g[i:j], n[i:j], part.flatten().to_numpy(zero_copy_only=False).reshape(j - i, -1)))
-            size, i = size + j - i, j
-            if size == most:
-                yield tile()
-                made, held, size = made + 1, [], 0
-    if held:
-        yield tile()
-
-
-def build_index(keyed: DataFrame) -> list[DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, key, held, size = TaskContext.get().partitionId() << 40, None, [], 0
+        for batch in batches:
+            keys = batch.column(0).to_pylist()
+            g, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in (2, 3))
+            v = batch.column(4)
+            i = 0
+            while i < len(keys):
+                if held and keys[i] != key:
+                    yield tile(key, number, held)
+                    number, held, size = number + 1, [], 0
+                key, j = keys[i], i
+                most = _tile_rows(int(key.rsplit("/", 2)[1]), shape)
+                while j < len(keys) and keys[j] == key and size + j - i < most:
+                    j += 1
+                x = v.slice(i, j - i).flatten().to_numpy(zero_copy_only=False).reshape(j - i, -1)
+                held.append((g[i:j], n[i:j], x))
+                size, i = size + j - i, j
+                if size == most:
+                    yield tile(key, number, held)
+                    number, held, size = number + 1, [], 0
+        if held:
+            yield tile(key, number, held)
+    return run
+
+
+def build_index(keyed: DataFrame, shape: Shape) -> list[DataFrame]:
     """``_KEYED_DDL`` rows -> the index, tiles first: ``key, id, lo, hi`` and, above the tiles,
     ``kid, los, his`` of up to 64 children. At the last level every key has the one node 0."""
     spark = keyed.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     tiles = written(keyed.repartitionByRange(n, "key", "z", "g").sortWithinPartitions("key", "z", "g")
-                    .mapInArrow(_tiles, _TILE_DDL), "blockjoin-tiles")
+                    .mapInArrow(_tiles(shape), _TILE_DDL), "blockjoin-tiles")
     low = (1 << 40) - 1
     top = tiles.agg(F.max(F.col("id").bitwiseAND(low)), F.max(F.shiftright("id", 40))).first()
     if top[0] is None:
         return []
-    bits = FAN_BITS
+    bits = shape.fan_bits
     while (1 << bits) <= top[0]:
-        bits += FAN_BITS
+        bits += shape.fan_bits
     tiles = tiles.withColumn("id", F.shiftleft(F.shiftright("id", 40), bits) + F.col("id").bitwiseAND(low))
     levels, largest = [tiles], ((top[1] + 1) << bits) - 1
     while True:
-        largest >>= FAN_BITS
-        kids = (levels[-1].groupBy("key", F.shiftright("id", FAN_BITS).alias("id"))
+        largest >>= shape.fan_bits
+        kids = (levels[-1].groupBy("key", F.shiftright("id", shape.fan_bits).alias("id"))
                 .agg(F.sort_array(F.collect_list(F.struct(F.col("id").alias("kid"), "lo", "hi"))).alias("k")))
         around = [F.expr(f"transform(k[0].{c}, (x, i) -> array_{f}(transform(k, t -> t.{c}[i])))").alias(c)
                   for c, f in (("lo", "min"), ("hi", "max"))]
@@ -170,7 +183,7 @@ def build_index(keyed: DataFrame) -> list[DataFrame]:
             return levels
 
 
-def _descend(limit: float):
+def _descend(limit: float, width: int):
     """Pairs of nodes -> pairs of children whose boxes come within the block's budget."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +197,7 @@ def _descend(limit: float):
                 for k in range(plo.shape[1]):
                     gap = np.maximum(plo[:, None, k] - qhi[None, :, k], qlo[None, :, k] - phi[:, None, k])
                     apart += np.maximum(gap, 0) ** 2
-                a, b = np.nonzero(apart <= _budgets(d, limit)[block] + SLACK)
+                a, b = np.nonzero(apart <= _budgets(d, width, limit)[block] + SLACK)
                 a, b = pk[a], qk[b]
                 keep = a <= b      # below a node paired with itself both orders occur
                 n = int(keep.sum())
@@ -197,10 +210,9 @@ def _descend(limit: float):
 _FOUND_DDL = "g long, links long, root long"
 
 
-def _pairs_of_cells(y: np.ndarray, z: np.ndarray, budget: float, same: bool, chunk: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _pairs_of_cells(y: np.ndarray, z: np.ndarray, budget: float, same: bool, cell: int, chunk: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Row pairs of two tiles within a block's budget (roughly: from products), by cells whose boxes are near."""
-    boxes = [[(i, m[i:i + CELL], m[i:i + CELL].min(0), m[i:i + CELL].max(0), (m[i:i + CELL] ** 2).sum(1))
-              for i in range(0, len(m), CELL)] for m in (y, z)]
+    boxes = [[(i, c, c.min(0), c.max(0), (c * c).sum(1)) for i in range(0, len(m), cell) for c in [m[i:i + cell]]] for m in (y, z)]
     for i, a, alo, ahi, aa in boxes[0]:
         for j, b, blo, bhi, bb in boxes[1]:
             if same and j < i:
@@ -230,23 +242,23 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return root
 
 
-def _verify(least: float):
+def _verify(least: float, shape: Shape):
     limit = 2 - 2 * least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {n: batch.column(k)[i].as_py() for k, n in enumerate(batch.schema.names)}
-                made = _tile_pair(row, least, limit)
+                made = _tile_pair(row, least, limit, shape)
                 if made is not None:
                     yield made
     return run
 
 
-def _tile_pair(row: dict, least: float, limit: float) -> pa.RecordBatch | None:
+def _tile_pair(row: dict, least: float, limit: float, shape: Shape) -> pa.RecordBatch | None:
     """Links of one pair of tiles: per vector their number and the smallest vector of its group here."""
     d, block = (int(p) for p in row["key"].rsplit("/", 2)[1:])
-    blocks, budgets = _blocks(d), _budgets(d, limit)
+    blocks, budgets = _blocks(d, shape.width), _budgets(d, shape.width, limit)
     side = {}
     for s in "pq":
         g = np.frombuffer(row[s + "g"], np.int64)
@@ -258,7 +270,8 @@ def _tile_pair(row: dict, least: float, limit: float) -> pa.RecordBatch | None:
     py, qy = rotate(pu, 0), rotate(qu, 0)
     b = blocks[block]
     out_r, out_s, chunk = [], [], max(CHUNK // py.shape[1], 1)
-    for r, s in _pairs_of_cells(np.ascontiguousarray(py[:, b]), np.ascontiguousarray(qy[:, b]), budgets[block], same, chunk):
+    for r, s in _pairs_of_cells(np.ascontiguousarray(py[:, b]), np.ascontiguousarray(qy[:, b]), budgets[block], same,
+                                shape.cell, chunk):
         # block by block, in one order of operations whatever tile the vectors are in
         gap = (py[r] - qy[s]) ** 2
         first = np.full(len(r), -1)
@@ -290,9 +303,9 @@ def _tile_pair(row: dict, least: float, limit: float) -> pa.RecordBatch | None:
                                       names=["g", "links", "root"])
 
 
-def links(keyed: DataFrame, least: float) -> DataFrame:
+def links(keyed: DataFrame, least: float, shape: Shape) -> DataFrame:
     """Keyed vectors -> ``g, links, root`` per vector and tile pair with links."""
-    levels = build_index(keyed)
+    levels = build_index(keyed, shape)
     spark = keyed.sparkSession
     if not levels:
         return spark.createDataFrame([], _FOUND_DDL)
@@ -301,14 +314,14 @@ def links(keyed: DataFrame, least: float) -> DataFrame:
     for level in levels[:0:-1]:
         sides = [level.select("key", F.col("id").alias(s), *[F.col(c).alias(s + c) for c in ("kid", "los", "his")]) for s in "pq"]
         met = pairs.join(sides[0], ["key", "p"]).join(sides[1], ["key", "q"])
-        pairs = written(met.mapInArrow(_descend(limit), "key string, p long, q long"), "blockjoin-pairs")
+        pairs = written(met.mapInArrow(_descend(limit, shape.width), "key string, p long, q long"), "blockjoin-pairs")
     sides = [levels[0].select("key", F.col("id").alias(s), *[F.col(c).alias(s + c) for c in "gnx"]) for s in "pq"]
     # the second exchange carries the pair with one tile; the other joins it there
     met = pairs.join(sides[0], ["key", "p"]).join(sides[1], ["key", "q"])
-    return met.mapInArrow(_verify(least), _FOUND_DDL)
+    return met.mapInArrow(_verify(least, shape), _FOUND_DDL)
 
 
-def near_duplicates(embeddings: DataFrame, least: float = 0.93) -> DataFrame:
+def near_duplicates(embeddings: DataFrame, least: float = 0.93, shape: Shape = Shape()) -> DataFrame:
     """``embeddings(vec_id, embedding, label)`` -> one row per vector: ``vec_id, n_links, component_id, kept``.
 
     Two vectors link if their labels are equal and not null and their cosine is at least
@@ -332,7 +345,8 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.93) -> DataFrame:
                    .select("vec_id", "r.v", "r.label"), "blockjoin-rows")
     some = rows.where("v is not null")
     groups = written(some.groupBy("label", "v").agg(F.min("vec_id").alias("g"), F.count("*").alias("n")), "blockjoin-groups")
-    found = written(links(groups.select("label", "g", "n", "v").mapInArrow(_keyed, _KEYED_DDL), least), "blockjoin-links")
+    found = written(links(groups.select("label", "g", "n", "v").mapInArrow(_keyed(shape.width), _KEYED_DDL),
+                          least, shape), "blockjoin-links")
     counts = found.groupBy("g").agg(F.sum("links").alias("links"))
     parts = connected_components(found.select(F.col("g").alias("a"), F.col("root").alias("b")))
     known = (groups.join(counts, "g", "left").join(parts.withColumnRenamed("node", "g"), "g", "left")

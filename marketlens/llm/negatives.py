@@ -1,9 +1,9 @@
 """Hard negatives through a multiway hyperplane tree.
 
-The tree splits a node's vectors among up to ``FAN`` split points, each vector to the
+The tree splits a node's vectors among up to 16 split points, each vector to the
 nearest (so the cells are bounded by hyperplanes). A split point keeps the range of its
 distances to the vectors of every sibling's subtree, and a subtree the range of its
-vectors' squared lengths. Nodes of up to ``LEAF`` vectors are leaves.
+vectors' squared lengths. Nodes of up to 512 vectors are leaves.
 
 A window of scores is an annulus of distances around the anchor, as
 ``|a - x|^2 = |a|^2 + |x|^2 - 2 a.x``. At a node an anchor goes on into a child only if,
@@ -75,27 +75,30 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
 
 
 # --------------------------------------------------------------------------- building
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pack(leaf: int):
     """``g, label, asked, v`` -> blocks of the root of their length."""
-    held: dict[int, list[_Rows]] = {}
 
-    def full(d: int, least: int) -> Iterator[pa.RecordBatch]:
-        if sum(map(len, held[d])) >= least:
-            rows = _Rows.joined(held[d])
-            held[d] = []
-            yield pa.RecordBatch.from_pylist([rows.take(slice(i, i + LEAF)).block(str(d)) for i in range(0, len(rows), LEAF)], _BLOCK)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[_Rows]] = {}
 
-    for batch in batches:
-        g, label, asked = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
-        v = batch.column(3)
-        lengths = np.diff(v.offsets.to_numpy())
-        for d in np.unique(lengths).tolist():
-            at = np.flatnonzero(lengths == d)
-            x = v.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), d)
-            held.setdefault(d, []).append(_Rows(g[at], label[at], asked[at].astype(bool), x))
-            yield from full(d, LEAF)
-    for d in held:
-        yield from full(d, 1)
+        def full(d: int, least: int) -> Iterator[pa.RecordBatch]:
+            if sum(map(len, held[d])) >= least:
+                rows = _Rows.joined(held[d])
+                held[d] = []
+                yield pa.RecordBatch.from_pylist([rows.take(slice(i, i + leaf)).block(str(d)) for i in range(0, len(rows), leaf)], _BLOCK)
+
+        for batch in batches:
+            g, label, asked = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
+            v = batch.column(3)
+            lengths = np.diff(v.offsets.to_numpy())
+            for d in np.unique(lengths).tolist():
+                at = np.flatnonzero(lengths == d)
+                x = v.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), d)
+                held.setdefault(d, []).append(_Rows(g[at], label[at], asked[at].astype(bool), x))
+                yield from full(d, leaf)
+        for d in held:
+            yield from full(d, 1)
+    return run
 
 
 def _uniform(g: np.ndarray) -> np.ndarray:
@@ -123,19 +126,22 @@ def _squares(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.maximum(size - 2 * (x @ y.T), 0), _EPS * size
 
 
-def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _choose(fan: int):
     """A node's sample -> its split points: each the farthest from those before; none where all are equal."""
-    for batch in batches:
-        for row in _rows(batch):
-            x = np.stack([np.frombuffer(c, np.int64) for c in row["sample"]])
-            far, chosen = _squares(x[:1].astype(float), x.astype(float))[0][0], [0]
-            while len(chosen) < FAN and (x != x[chosen[0]]).any() and far.max() > 0:
-                chosen.append(int(far.argmax()))
-                far = np.minimum(far, _squares(x[chosen[-1:]].astype(float), x.astype(float))[0][0])
-                far[chosen] = 0
-            if len(chosen) > 1:
-                yield pa.RecordBatch.from_arrays([pa.array([row["node"]]), pa.array([x[chosen].tobytes()], pa.binary())],
-                                                 names=["node", "points"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in _rows(batch):
+                x = np.stack([np.frombuffer(c, np.int64) for c in row["sample"]])
+                far, chosen = _squares(x[:1].astype(float), x.astype(float))[0][0], [0]
+                while len(chosen) < fan and (x != x[chosen[0]]).any() and far.max() > 0:
+                    chosen.append(int(far.argmax()))
+                    far = np.minimum(far, _squares(x[chosen[-1:]].astype(float), x.astype(float))[0][0])
+                    far[chosen] = 0
+                if len(chosen) > 1:
+                    yield pa.RecordBatch.from_arrays([pa.array([row["node"]]), pa.array([x[chosen].tobytes()], pa.binary())],
+                                                     names=["node", "points"])
+    return run
 
 
 _PIECE_DDL = "parent string, child int, " + _BLOCK_DDL + ", nlo double, nhi double, lo array<double>, hi array<double>"
@@ -161,38 +167,42 @@ def _assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pylist(out, _PIECE)
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces sorted by node -> blocks of up to ``LEAF`` vectors."""
-    node, held = None, []
+def _merge(leaf: int):
+    """Pieces sorted by node -> blocks of up to ``leaf`` vectors."""
 
-    def out(least: int) -> Iterator[pa.RecordBatch]:
-        nonlocal held
-        if held and sum(map(len, held)) >= least:
-            rows = _Rows.joined(held)
-            full = len(rows) if least == 1 else len(rows) // LEAF * LEAF
-            held = [rows.take(slice(full, None))] if full < len(rows) else []
-            yield pa.RecordBatch.from_pylist([rows.take(slice(i, min(i + LEAF, full))).block(node) for i in range(0, full, LEAF)], _BLOCK)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, held = None, []
 
-    for batch in batches:
-        for row in _rows(batch):
-            if row["node"] != node:
-                yield from out(1)
-                node, held = row["node"], []
-            held.append(_Rows.of(row, row["d"]))
-            yield from out(LEAF)
-    yield from out(1)
+        def out(least: int) -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            if held and sum(map(len, held)) >= least:
+                rows = _Rows.joined(held)
+                full = len(rows) if least == 1 else len(rows) // leaf * leaf
+                held = [rows.take(slice(full, None))] if full < len(rows) else []
+                yield pa.RecordBatch.from_pylist([rows.take(slice(i, min(i + leaf, full))).block(node)
+                                                  for i in range(0, full, leaf)], _BLOCK)
 
+        for batch in batches:
+            for row in _rows(batch):
+                if row["node"] != node:
+                    yield from out(1)
+                    node, held = row["node"], []
+                held.append(_Rows.of(row, row["d"]))
+                yield from out(leaf)
+        yield from out(1)
+    return run
 
-def build_tree(groups: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+
+def build_tree(groups: DataFrame, fan: int = FAN, leaf: int = LEAF) -> tuple[list[DataFrame], DataFrame]:
     """``g, label, asked, v`` -> the levels of inner nodes, top first, and the blocks of the leaves."""
-    frontier, levels, leaves = written(groups.mapInArrow(_pack, _BLOCK_DDL), "tree-root"), [], []
+    frontier, levels, leaves = written(groups.mapInArrow(_pack(leaf), _BLOCK_DDL), "tree-root"), [], []
     for _ in range(DEPTH):
         sizes = frontier.groupBy("node").agg(F.sum("n").alias("rows"))
-        big = written(sizes.where(F.col("rows") > LEAF), "tree-big")
+        big = written(sizes.where(F.col("rows") > leaf), "tree-big")
         sample = (frontier.join(sized_broadcast(big, big.count()), "node").select("node", "rows", "d", "n", "g", "label", "asked", "x")
                   .mapInArrow(_candidates, "node string, u double, x binary").groupBy("node")
                   .agg(F.slice(F.sort_array(F.collect_list(F.struct("u", "x"))), 1, CANDIDATES).getField("x").alias("sample")))
-        points = written(sample.mapInArrow(_choose, "node string, points binary"), "tree-points")
+        points = written(sample.mapInArrow(_choose(fan), "node string, points binary"), "tree-points")
         n = points.count()
         if not n:
             break
@@ -201,16 +211,16 @@ def build_tree(groups: DataFrame) -> tuple[list[DataFrame], DataFrame]:
         pieces = written(split.mapInArrow(_assign, _PIECE_DDL), "tree-pieces")
         kids = pieces.groupBy("parent", "child").agg(
             F.min("nlo").alias("nlo"), F.max("nhi").alias("nhi"),
-            F.array(*[F.min(F.get("lo", F.lit(i))) for i in range(FAN)]).alias("lo"),
-            F.array(*[F.max(F.get("hi", F.lit(i))) for i in range(FAN)]).alias("hi"))
+            F.array(*[F.min(F.get("lo", F.lit(i))) for i in range(fan)]).alias("lo"),
+            F.array(*[F.max(F.get("hi", F.lit(i))) for i in range(fan)]).alias("hi"))
         kids = kids.groupBy(F.col("parent").alias("node")).agg(
             F.collect_list(F.struct("child", "nlo", "nhi", "lo", "hi")).alias("kids"))
         levels.append(written(points.join(kids, "node"), "tree-nodes"))
         # a large node's pieces are merged in as many places as it has 64 leaves' worth of vectors
-        parts = pieces.groupBy("node").agg(F.ceil(F.sum("n") / (64 * LEAF)).alias("parts"))
+        parts = pieces.groupBy("node").agg(F.ceil(F.sum("n") / (64 * leaf)).alias("parts"))
         salted = pieces.join(parts, "node").withColumn("part", F.pmod(F.xxhash64("g"), "parts"))
         frontier = written(salted.select("node", "d", "n", "g", "label", "asked", "x", "part").repartition("node", "part")
-                           .sortWithinPartitions("node").drop("part").mapInArrow(_merge, _BLOCK_DDL), "tree-blocks")
+                           .sortWithinPartitions("node").drop("part").mapInArrow(_merge(leaf), _BLOCK_DDL), "tree-blocks")
     blocks = frontier
     for leaf in leaves:
         blocks = blocks.unionByName(leaf)
@@ -231,24 +241,26 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _ANCHOR_DDL = "b long, d int, ag array<long>, alabel array<long>, ax binary, homes array<string>"
 
 
-def _anchor_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _anchor_blocks(size: int):
     """Anchors sorted by length and leaf -> blocks of them."""
-    made, held = TaskContext.get().partitionId() << 40, []
 
-    def block() -> pa.RecordBatch:
+    def block(b: int, held: list) -> pa.RecordBatch:
         home, d, g, label, x = zip(*held)
-        return pa.RecordBatch.from_arrays([pa.array([made]), pa.array([d[0]], pa.int32()), pa.array([list(g)]), pa.array([list(label)]),
+        return pa.RecordBatch.from_arrays([pa.array([b]), pa.array([d[0]], pa.int32()), pa.array([list(g)]), pa.array([list(label)]),
                                            pa.array([b"".join(x)], pa.binary()), pa.array([list(home)], pa.list_(pa.string()))],
                                           names=["b", "d", "ag", "alabel", "ax", "homes"])
 
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if held and (len(held) == ANCHORS or held[0][1] != row[1]):
-                yield block()
-                made, held = made + 1, []
-            held.append(row)
-    if held:
-        yield block()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, held = TaskContext.get().partitionId() << 40, []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and (len(held) == size or held[0][1] != row[1]):
+                    yield block(made, held)
+                    made, held = made + 1, []
+                held.append(row)
+        if held:
+            yield block(made, held)
+    return run
 
 
 def _homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,11 +353,11 @@ def _best(entries: DataFrame, k: int) -> DataFrame:
 class Search:
     """Searches of one tree for one set of anchors."""
 
-    def __init__(self, groups: DataFrame):
-        self.levels, self.leaves = build_tree(groups)
+    def __init__(self, groups: DataFrame, fan: int = FAN, leaf: int = LEAF, block: int = ANCHORS):
+        self.levels, self.leaves = build_tree(groups, fan, leaf)
         rows = written(self.leaves.mapInArrow(_asked, "home string, d int, g long, label long, x binary"), "tree-anchors")
-        few = max(1, -(-rows.count() // (8 * ANCHORS)))
-        self.anchors = written(rows.orderBy("d", "home", "g").coalesce(few).mapInArrow(_anchor_blocks, _ANCHOR_DDL), "tree-anchor-blocks")
+        few = max(1, -(-rows.count() // (8 * block)))
+        self.anchors = written(rows.orderBy("d", "home", "g").coalesce(few).mapInArrow(_anchor_blocks(block), _ANCHOR_DDL), "tree-anchor-blocks")
         self.homes = self.anchors.select("b", "homes").mapInArrow(_homes, "b long, node string, mask binary")
         self.places = self.anchors.select("b", F.posexplode("ag").alias("pos", "a"))
         self.count = self.anchors.count()
@@ -357,7 +369,7 @@ class Search:
         return written(self.anchors.select("b", "d", "ag", "alabel", "ax").join(wins, "b"), "tree-windows")
 
     def _met(self, pairs: DataFrame, ready: DataFrame, other: DataFrame) -> DataFrame:
-        """Pairs with their block of anchors (ANCHORS vectors: a few of them are hinted for broadcast) and node."""
+        """Pairs with their block of anchors (a few hundred vectors; 64 blocks are hinted for broadcast) and node."""
         return pairs.join(F.broadcast(ready) if self.count <= 64 else ready, "b").join(other.drop("d"), "node")
 
     def _descend(self, ready: DataFrame) -> DataFrame:
@@ -378,11 +390,12 @@ class Search:
 
 
 def _floor_pct(c: Column, pct: int) -> Column:
-    return (c * pct - F.pmod(c * pct, F.lit(100))) / 100
+    """``pct`` percent, rounded down; the product may pass 64 bits."""
+    return F.floor(c.cast("decimal(24,0)") * F.lit(pct) / F.lit(100))
 
 
 def mine(embeddings: DataFrame, every: int = 100, positives: int = 5, negatives: int = 10, low_pct: int = 30,
-         high_pct: int = 90, scale: int = 256) -> DataFrame:
+         high_pct: int = 90, scale: int = 256, fan: int = FAN, leaf: int = LEAF, block: int = ANCHORS) -> DataFrame:
     """``embeddings(vec_id, embedding, label)`` -> ``anchor_id, positive_id, rank, negative_id,
     positive_score, negative_score``.
 
@@ -395,7 +408,8 @@ def mine(embeddings: DataFrame, every: int = 100, positives: int = 5, negatives:
     Rows with a null vec_id, label or vector, an empty vector or a null or non-finite
     component take no part; vectors of another length are neither positives nor negatives; of
     rows that repeat a vec_id the smallest vector (then label) stands. Labels are integers.
-    Other columns are ignored, whatever their names. Empty table: no rows.
+    Other columns are ignored, whatever their names. Empty table: no rows. ``fan``, ``leaf``
+    and ``block`` are the sizes of the tree and of the anchors' blocks; results do not depend on them.
     """
     keep = max(positives, negatives) + 1
     v = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"),
@@ -412,7 +426,8 @@ def mine(embeddings: DataFrame, every: int = 100, positives: int = 5, negatives:
     groups = written(groups, "negatives-groups")
     asked = written(v.where(F.col("vec_id") % every == 0).join(groups, ["label", "v"]).select("vec_id", "g"), "negatives-asked")
     wanted = asked.select("g").distinct().withColumn("asked", F.lit(True))
-    search = Search(groups.join(wanted, "g", "left").select("g", "label", F.coalesce("asked", F.lit(False)).alias("asked"), "v"))
+    search = Search(groups.join(wanted, "g", "left").select("g", "label", F.coalesce("asked", F.lit(False)).alias("asked"), "v"),
+                    fan, leaf, block)
 
     def rows(found: DataFrame, k: int) -> DataFrame:
         """Groups found -> the first ``k`` rows of each window."""

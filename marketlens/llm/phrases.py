@@ -133,7 +133,7 @@ def _count(raw: bytes, lang: str, level: int, bitmap: np.ndarray | None, bits: i
         pa.ListArray.from_arrays(offsets, pa.array(n.astype(np.int64)))], schema=_STRIPE)
 
 
-def _counted(level: int, filtered, heavy, parts: int):
+def _counted(level: int, filtered, heavy, parts: int, chunk: int):
     """Texts -> stripes of a level, counted per language in chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +150,7 @@ def _counted(level: int, filtered, heavy, parts: int):
                     t = texts[r].as_buffer()
                     held.append(t)
                     size += t.size
-                    if size >= CHUNK or j + 1 == len(rows):
+                    if size >= chunk or j + 1 == len(rows):
                         made = _count(b"\n".join(held), lang, level, bitmap, bits, split.get(lang, {}), parts)
                         held, size = [], 0
                         if made is not None:
@@ -254,7 +254,7 @@ def _heavy(frequent: DataFrame, words: int, partitions: int):
     return frequent.sparkSession.sparkContext.broadcast(out)
 
 
-def stripes(docs: DataFrame, least: int, longest: int) -> list[DataFrame]:
+def stripes(docs: DataFrame, least: int, longest: int, chunk: int = CHUNK) -> list[DataFrame]:
     """Merged stripes of levels 0 to ``longest - 1``: ``lang, prefix, total, next, n`` (entries of
     ``least`` and more; ``total`` is the sum of what was counted, at level 0 of all words)."""
     spark = docs.sparkSession
@@ -263,7 +263,7 @@ def stripes(docs: DataFrame, least: int, longest: int) -> list[DataFrame]:
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     levels, words, filtered, heavy = [], 0, None, None
     for level in range(longest):
-        counted = texts.mapInArrow(_counted(level, filtered, heavy, partitions), _STRIPE_DDL)
+        counted = texts.mapInArrow(_counted(level, filtered, heavy, partitions, chunk), _STRIPE_DDL)
         merged = (counted.repartition("lang", "prefix", "part").sortWithinPartitions("lang", "prefix", "part")
                   .mapInArrow(_merged(least), _MERGED_DDL))
         levels.append(written(merged, "phrase-stripes"))
@@ -290,7 +290,7 @@ def _wide(c: Column | str) -> Column:
 
 
 def collocations(docs: DataFrame, least: int = 30, longest: int = 4, top: int = 2000,
-                 scale: int = 2_000_000, inside_pct: int = 80) -> DataFrame:
+                 scale: int = 2_000_000, inside_pct: int = 80, chunk: int = CHUNK) -> DataFrame:
     """``(text, lang, ...)`` -> each language's first ``top`` phrases: ``lang, rank, phrase, a, l, r, n, score``.
 
     Texts are lower-cased (A-Z), cut into pieces at ``.,;:!?`` and line ends and into words at
@@ -304,7 +304,7 @@ def collocations(docs: DataFrame, least: int = 30, longest: int = 4, top: int =
     are ignored, whatever their names; texts of any length are counted whole; an empty table gives
     no rows. Counts are 64-bit, products decimals of 38 digits.
     """
-    levels = stripes(docs, least, longest)
+    levels = stripes(docs, least, longest, chunk)
     known = [entries(x) for x in levels]
     words = levels[0].groupBy("lang").agg(F.sum("total").alias("n"))
     counts = known[0]
