@@ -1,8 +1,7 @@
 """File sources and sinks: CSV scan, manifest load, schema conform, append, report sink.
 
-All readers are lazy and distributed (one task per file split; tables with free
-text, whose quoted fields may hold line breaks, one per file); nothing is read
-on the driver. CSV columns are matched to the declared schema **by
+All readers are lazy and distributed (one task per file split, also where
+quoted fields hold line breaks); nothing but headers is read on the driver. CSV columns are matched to the declared schema **by
 header name**, as an insert by column name does, not by position.
 """
 
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DecimalType, StringType, StructType
 
 from marketlens.schema import DEFAULT_MANIFEST, FREE_TEXT, PRIMARY_KEYS, table_schema
+from marketlens.sources.quoted import read_quoted
 from marketlens.tables import DECLARED_TRANSLATION
 
 # enforceSchema=false: every file's header is checked, so a folder whose files order their
@@ -28,8 +28,8 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | None = None,
     """Header CSV (comma, quoted text) -> frame.
 
     ``multi_line`` is needed where quoted text may hold line breaks (by default: where
-    the schema declares unbounded text); such a file is read by one task, so load
-    such a table as many files. Others are read in splits.
+    the schema declares unbounded text). Such files are read in splits too, after a first
+    pass over their quotes (:mod:`marketlens.sources.quoted`).
 
     Every field is read as text and then conformed to ``schema`` by name
     (see :func:`conform`); without a schema the text columns are returned.
@@ -37,6 +37,8 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | None = None,
     if multi_line is None:
         multi_line = schema is not None and any(c in FREE_TEXT for c in schema.fieldNames())
     df = spark.read.options(**{**CSV_OPTIONS, "multiLine": str(multi_line).lower(), **options}).csv(path)
+    if multi_line:
+        df = read_quoted(spark, path, df.columns, **options)
     return df if schema is None else conform(df, schema, rename, required)
 
 
