@@ -82,9 +82,9 @@ def op_compare_columns(t: Tables) -> DataFrame:
 
 
 _PERSON_ORDERS = """x_person_orders AS (
-  SELECT c.customer_unique_id, COUNT(DISTINCT o.order_id) AS order_count
-  FROM x_orders o JOIN x_customers c ON o.customer_id = c.customer_id
-  GROUP BY c.customer_unique_id)"""
+  SELECT customer_unique_id, COUNT(DISTINCT order_id) AS order_count
+  FROM x_customers JOIN x_orders USING (customer_id)
+  GROUP BY ALL)"""
 
 
 def _person_orders(t: Tables) -> DataFrame:
@@ -109,57 +109,53 @@ def op_cte_projection(t: Tables) -> DataFrame:
 
 # --------------------------------------------------------------------------- joins
 @register("op_join_inner_1n", M(
-    "SELECT o.order_id, oi.order_item_id, o.order_status, CAST(oi.price AS DOUBLE) AS price "
-    "FROM x_orders o JOIN x_items oi ON o.order_id = oi.order_id"))
+    "SELECT order_id, order_item_id, order_status, CAST(price AS DOUBLE) AS price FROM x_items JOIN x_orders USING (order_id)"))
 def op_join_inner_1n(t: Tables) -> DataFrame:
     return as_double(J.orders_items(t).select("order_id", "order_item_id", "order_status", "price"))
 
 
 @register("op_join_inner_n1", M(
-    "SELECT o.order_id, o.customer_id, c.customer_state "
-    "FROM x_orders o JOIN x_customers c ON o.customer_id = c.customer_id"))
+    "SELECT order_id, customer_id, customer_state FROM x_customers JOIN x_orders USING (customer_id)"))
 def op_join_inner_n1(t: Tables) -> DataFrame:
     return J.orders_customers(t).select("order_id", "customer_id", "customer_state")
 
 
 @register("op_join_chain", M(
-    "SELECT c.customer_id, o.order_id, oi.order_item_id, c.customer_state, CAST(oi.price AS DOUBLE) AS price "
-    "FROM x_customers c JOIN x_orders o ON c.customer_id = o.customer_id "
-    "JOIN x_items oi ON o.order_id = oi.order_id"))
+    "SELECT customer_id, order_id, order_item_id, customer_state, CAST(price AS DOUBLE) AS price "
+    "FROM x_items JOIN (FROM x_orders JOIN x_customers USING (customer_id)) bought USING (order_id)"))
 def op_join_chain(t: Tables) -> DataFrame:
     return as_double(J.customer_items(t).select("customer_id", "order_id", "order_item_id",
                                                 "customer_state", "price"))
 
 
 @register("op_join_star", M(
-    "SELECT oi.order_id, oi.order_item_id, oi.seller_id, s.seller_state, r.review_id, r.review_score "
-    "FROM x_items oi JOIN x_sellers s ON oi.seller_id = s.seller_id "
-    "JOIN x_orders o ON oi.order_id = o.order_id JOIN x_reviews r ON o.order_id = r.order_id"))
+    "SELECT order_id, order_item_id, seller_id, seller_state, review_id, review_score "
+    "FROM x_reviews JOIN (FROM x_sellers JOIN x_items USING (seller_id)) sold USING (order_id) "
+    "WHERE order_id IN (SELECT order_id FROM x_orders)"))
 def op_join_star(t: Tables) -> DataFrame:
     return J.seller_items_reviews(t).select("order_id", "order_item_id", "seller_id", "seller_state",
                                             "review_id", "review_score")
 
 
 @register("op_join_left_lookup", M(
-    "SELECT p.product_id, p.product_category_name, t.product_category_name_english "
-    "FROM x_products p LEFT JOIN x_translation t ON p.product_category_name = t.product_category_name"))
+    "SELECT product_id, product_category_name, product_category_name_english "
+    "FROM x_products LEFT JOIN x_translation USING (product_category_name)"))
 def op_join_left_lookup(t: Tables) -> DataFrame:
     return J.with_category(t.products, t.category_translation).select(
         "product_id", "product_category_name", "product_category_name_english")
 
 
 @register("op_join_mixed", M(
-    "SELECT r.review_id, r.order_id, oi.order_item_id, oi.product_id, t.product_category_name_english "
-    "FROM x_reviews r JOIN x_orders o ON r.order_id = o.order_id "
-    "JOIN x_items oi ON o.order_id = oi.order_id JOIN x_products p ON oi.product_id = p.product_id "
-    "LEFT JOIN x_translation t ON p.product_category_name = t.product_category_name"))
+    "SELECT review_id, order_id, order_item_id, product_id, product_category_name_english "
+    "FROM x_items JOIN (FROM x_products LEFT JOIN x_translation USING (product_category_name)) named USING (product_id) "
+    "JOIN x_reviews USING (order_id) WHERE order_id IN (SELECT order_id FROM x_orders)"))
 def op_join_mixed(t: Tables) -> DataFrame:
     return J.review_categories(t).select("review_id", "order_id", "order_item_id", "product_id",
                                          "product_category_name_english")
 
 
 @register("op_join_fanout", M(
-    "SELECT o.order_id, r.review_id, r.review_score FROM x_orders o JOIN x_reviews r ON o.order_id = r.order_id"))
+    "SELECT order_id, review_id, review_score FROM x_reviews JOIN x_orders USING (order_id)"))
 def op_join_fanout(t: Tables) -> DataFrame:
     return J.orders_reviews(t).select("order_id", "review_id", "review_score")
 
@@ -241,7 +237,7 @@ def op_conditional_avg(t: Tables) -> DataFrame:
 
 
 @register("op_avg_of_ratio", M(
-    f"SELECT seller_id, ROUND(AVG({O.RATIO.replace('oi.', '')}), 1) AS freight_pct FROM x_items GROUP BY seller_id"))
+    f"SELECT seller_id, ROUND(AVG({O.RATIO}), 1) AS freight_pct FROM x_items GROUP BY seller_id"))
 def op_avg_of_ratio(t: Tables) -> DataFrame:
     ratio = F.col("freight_value") / F.nullif(F.col("price"), F.lit(0)) * 100
     return t.order_items.groupBy("seller_id").agg(
@@ -256,8 +252,7 @@ def op_group_by_expression(t: Tables) -> DataFrame:
 
 
 @register("op_group_by_coalesce", M(
-    f"SELECT {O.CATEGORY} AS category, COUNT(*) AS n_products "
-    "FROM x_products p LEFT JOIN x_translation t ON p.product_category_name = t.product_category_name GROUP BY 1"))
+    "SELECT category, COUNT(*) AS n_products FROM x_categories GROUP BY category"))
 def op_group_by_coalesce(t: Tables) -> DataFrame:
     return J.product_categories(t).groupBy("category").agg(AG.count_rows().alias("n_products"))
 
@@ -301,9 +296,9 @@ def op_global_agg(t: Tables) -> DataFrame:
 
 
 @register("op_mixed_distinct_agg", M(
-    f"SELECT o.order_status, COUNT(DISTINCT o.order_id) AS n_orders, COUNT(*) AS n_items, "
-    f"{O.money('SUM(oi.price)')} AS revenue, {O.avg_money('SUM(oi.price)', 'COUNT(oi.price)')} AS avg_price "
-    "FROM x_orders o JOIN x_items oi ON o.order_id = oi.order_id GROUP BY o.order_status"))
+    f"SELECT order_status, COUNT(DISTINCT order_id) AS n_orders, COUNT(*) AS n_items, "
+    f"{O.money('SUM(price)')} AS revenue, {O.avg_money('SUM(price)', 'COUNT(price)')} AS avg_price "
+    "FROM x_items JOIN x_orders USING (order_id) GROUP BY ALL"))
 def op_mixed_distinct_agg(t: Tables) -> DataFrame:
     return J.orders_items(t).groupBy("order_status").agg(
         AG.count_distinct("order_id").alias("n_orders"), AG.count_rows().alias("n_items"),
@@ -415,8 +410,7 @@ def op_round_half_up(t: Tables) -> DataFrame:
 
 
 @register("op_coalesce", M(
-    f"SELECT p.product_id, {O.CATEGORY} AS category "
-    "FROM x_products p LEFT JOIN x_translation t ON p.product_category_name = t.product_category_name"))
+    "SELECT product_id, category FROM x_categories"))
 def op_coalesce(t: Tables) -> DataFrame:
     return J.product_categories(t)
 
@@ -463,8 +457,7 @@ def op_arithmetic(t: Tables) -> DataFrame:
 @register("op_title_case", M(
     f"SELECT name, {O.title_sql('name')} AS title FROM ("
     "SELECT DISTINCT customer_state AS name FROM x_customers UNION "
-    f"SELECT DISTINCT {O.CATEGORY} FROM x_products p "
-    "LEFT JOIN x_translation t ON p.product_category_name = t.product_category_name) n"))
+    "SELECT DISTINCT category FROM x_categories) n"))
 def op_title_case(t: Tables) -> DataFrame:
     names = (t.customers.select(F.col("customer_state").alias("name"))
              .union(J.product_categories(t).select(F.col("category").alias("name"))).distinct())
