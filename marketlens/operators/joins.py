@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from marketlens.functions.exprs import category_expr
+from marketlens.operators.skew import heavy_hitters, salted_join
 from marketlens.tables import Tables
 
 
@@ -32,9 +33,12 @@ def customer_items(t: Tables) -> DataFrame:
 
 
 def seller_items_reviews(t: Tables) -> DataFrame:
-    """Items x sellers x orders x reviews (an item repeats once per review)."""
-    return (t.order_items.join(t.sellers, "seller_id")
-            .join(t.orders, "order_id").join(t.order_reviews, "order_id"))
+    """Items x sellers x orders x reviews (an item repeats once per review).
+
+    A hot order's items are dealt out by seller, each part with the order's reviews.
+    """
+    return salted_join(t.order_items.join(t.sellers, "seller_id"), t.orders.join(t.order_reviews, "order_id"),
+                       "order_id", "seller_id", heavy_hitters(t.order_items, "order_id"))
 
 
 def with_category(products: DataFrame, translation: DataFrame) -> DataFrame:

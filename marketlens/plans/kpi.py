@@ -26,14 +26,18 @@ from marketlens.tables import Tables
 
 def kpi_summary(t: Tables, status: str = DELIVERED, since: str = "2017-01-01",
                 k: int = 15) -> DataFrame:
-    months = monthly_revenue(t, status, since, narrow=True, ordered=False, exact=True).select(
-        F.col("total_revenue").alias("month_revenue"),
-        F.col("total_orders").alias("month_orders"))
-    states = delivery_delay(t, status, narrow=True, ordered=False).select(
-        F.col("late_delivery_pct").cast("decimal(10,2)").alias("state_pct"))
-    cats = revenue_by_category(t, status, k, narrow=True).select(
-        F.col("category"), F.col("total_revenue").alias("category_revenue"),
-        F.lit(True).alias("is_category"))
+    """K1 straight from the tables."""
+    return kpi_from(monthly_revenue(t, status, since, narrow=True, ordered=False, exact=True),
+                    delivery_delay(t, status, narrow=True, ordered=False),
+                    revenue_by_category(t, status, k, narrow=True))
+
+
+def kpi_from(monthly: DataFrame, delay: DataFrame, categories: DataFrame) -> DataFrame:
+    """K1 from Q1, Q4 and Q2 (their rounded values, as DOUBLE or DECIMAL)."""
+    months = monthly.select(F.col("total_revenue").cast("decimal(38,2)").alias("month_revenue"),
+                            F.col("total_orders").alias("month_orders"))
+    states = delay.select(F.col("late_delivery_pct").cast("decimal(10,2)").alias("state_pct"))
+    cats = categories.select(F.col("category"), F.col("total_revenue").alias("category_revenue"), F.lit(True).alias("is_category"))
     parts = (months.unionByName(states, allowMissingColumns=True)
              .unionByName(cats, allowMissingColumns=True))
     row = parts.agg(

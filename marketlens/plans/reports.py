@@ -40,6 +40,7 @@ from marketlens.operators.aggregates import count_distinct, count_rows, count_wh
 from marketlens.operators.joins import product_categories
 from marketlens.operators.ordering import asc, desc, sort_cols, top_k
 from marketlens.operators.relational import filter_eq, filter_not_null, filter_since
+from marketlens.operators.skew import heavy_hitters, salted_join
 from marketlens.operators.windows import window_share
 from marketlens.tables import Tables
 
@@ -67,22 +68,28 @@ def delivered_orders(t: Tables, status: str = DELIVERED) -> DataFrame:
     return filter_eq(t.orders, "order_status", status)
 
 
+def item_totals(t: Tables) -> DataFrame:
+    """Items pre-aggregated per order: sums and counts of price and of price + freight (for Q1 and Q3)."""
+    amount = F.col("price") + F.col("freight_value")
+    return t.order_items.groupBy("order_id").agg(
+        F.sum(amount).alias("amount_sum"), F.count(amount).alias("amount_n"),
+        F.sum("price").alias("price_sum"), F.count("price").alias("price_n"))
+
+
 # --------------------------------------------------------------------------- Q1
 def monthly_revenue(t: Tables, status: str = DELIVERED, since: str = "2017-01-01",
-                    narrow: bool = False, ordered: bool = True, exact: bool = False) -> DataFrame:
+                    narrow: bool = False, ordered: bool = True, exact: bool = False,
+                    per_order: DataFrame | None = None) -> DataFrame:
     """Q1: orders, revenue (price + freight) and mean item value per purchase month.
 
     ``narrow=True`` gives the dashboard's three columns (no average); ``ordered=False``
     skips the final sort and ``exact=True`` leaves the rounded revenue DECIMAL (for
-    callers that aggregate further).
+    callers that aggregate further). ``per_order`` is :func:`item_totals` where it is at hand.
     """
-    amount = F.col("price") + F.col("freight_value")
-    per_order = (t.order_items.select("order_id", amount.alias("amount"))
-                 .groupBy("order_id")
-                 .agg(F.sum("amount").alias("amount_sum"), F.count("amount").alias("amount_n")))
+    per_order = item_totals(t) if per_order is None else per_order
     orders = filter_since(delivered_orders(t, status), "order_purchase_timestamp", since)
     rows = (orders.select("order_id", month_start("order_purchase_timestamp").alias("month"))
-            .join(per_order, "order_id"))
+            .join(per_order.select("order_id", "amount_sum", "amount_n"), "order_id"))
     cols = [count_distinct("order_id").alias("total_orders"),
             (F.round(F.sum("amount_sum"), 2) if exact else N.round_out(F.sum("amount_sum"), 2)).alias("total_revenue")]
     if not narrow:
@@ -112,13 +119,12 @@ def revenue_by_category(t: Tables, status: str = DELIVERED, k: int = 15,
 
 # --------------------------------------------------------------------------- Q3
 def orders_by_state(t: Tables, status: str = DELIVERED, k: int = 10,
-                    narrow: bool = False) -> DataFrame:
+                    narrow: bool = False, per_order: DataFrame | None = None) -> DataFrame:
     """Q3: top ``k`` customer states by delivered orders (with item revenue)."""
-    per_order = (t.order_items.groupBy("order_id")
-                 .agg(F.sum("price").alias("price_sum"), F.count("price").alias("price_n")))
+    per_order = item_totals(t) if per_order is None else per_order
     rows = (delivered_orders(t, status).select("order_id", "customer_id")
             .join(t.customers.select("customer_id", "customer_state"), "customer_id")
-            .join(per_order, "order_id"))
+            .join(per_order.select("order_id", "price_sum", "price_n"), "order_id"))
     cols = [count_distinct("order_id").alias("total_orders"),
             N.round_out(F.sum("price_sum"), 2).alias("total_revenue")]
     if not narrow:
@@ -177,20 +183,24 @@ def review_totals(t: Tables) -> DataFrame:
         count_where(score == 5).alias("five"), count_where(score == 1).alias("one"))
 
 
-def top_sellers(t: Tables, status: str = DELIVERED, k: int = 10) -> DataFrame:
+def top_sellers(t: Tables, status: str = DELIVERED, k: int = 10, reviews: DataFrame | None = None) -> DataFrame:
     """Q6: top ``k`` sellers by revenue of delivered, reviewed orders, with review mean.
 
     Each item counts once per review of its order (the reference's fan-out).
     Items are summed per (order, seller) and reviews per order before the
     order join, so the fan-out becomes a product of sums (``price_sum *
-    reviews``) and a hot order collapses map-side. The seller attributes join
-    after the per-seller aggregate.
+    reviews``) and repeated items of a seller collapse map-side. What a hot
+    order still has is a row per seller: such orders are found by a frequency
+    sketch and dealt out by seller (:mod:`marketlens.operators.skew`). The
+    seller attributes join after the per-seller aggregate.
     """
     items = t.order_items.groupBy("order_id", "seller_id").agg(
         count_rows().alias("n_items"), F.sum("price").alias("price_sum"),
         F.count("price").alias("price_n"))
-    rows = (items.join(delivered_orders(t, status).select("order_id"), "order_id")
-            .join(review_totals(t).select("order_id", "n_rev", "score_sum", "score_n"), "order_id"))
+    per_order = (delivered_orders(t, status).select("order_id")
+                 .join((review_totals(t) if reviews is None else reviews)
+                       .select("order_id", "n_rev", "score_sum", "score_n"), "order_id"))
+    rows = salted_join(items, per_order, "order_id", "seller_id", heavy_hitters(t.order_items, "order_id"))
     per_seller = rows.groupBy("seller_id").agg(
         count_distinct("order_id").alias("total_orders"),
         F.sum(F.col("price_sum") * F.col("n_rev")).alias("rev"),
@@ -214,7 +224,7 @@ def top_sellers(t: Tables, status: str = DELIVERED, k: int = 10) -> DataFrame:
 
 # --------------------------------------------------------------------------- Q7
 def reviews_by_category(t: Tables, min_reviews: int = 100, k: int = 15,
-                        narrow: bool = False) -> DataFrame:
+                        narrow: bool = False, reviews: DataFrame | None = None) -> DataFrame:
     """Q7: best-reviewed categories with more than ``min_reviews`` reviews (all orders).
 
     A review counts once per item of its order. Items get their category
@@ -226,7 +236,7 @@ def reviews_by_category(t: Tables, min_reviews: int = 100, k: int = 15,
     item_cats = (t.order_items.select("order_id", "product_id")
                  .join(product_categories(t), "product_id")
                  .groupBy("order_id", "category").agg(count_rows().alias("n_items")))
-    rows = (review_totals(t)
+    rows = ((review_totals(t) if reviews is None else reviews)
             .join(t.orders.select("order_id"), "order_id")
             .join(item_cats, "order_id"))
     sums = ["n_rid", "score_sum", "score_n", "five", "one"]
@@ -259,7 +269,7 @@ def delivery_status(t: Tables, status: str = DELIVERED) -> DataFrame:
                     N.round_ratio(us, F.lit(N.MICROS_PER_DAY), 6).alias("days_late")))
 
 
-def delay_vs_reviews(t: Tables, status: str = DELIVERED) -> DataFrame:
+def delay_vs_reviews(t: Tables, status: str = DELIVERED, reviews: DataFrame | None = None) -> DataFrame:
     """Q8: review mean and mean days late, on-time against late deliveries.
 
     Every (order, review) row counts, so an order's lateness is weighted by
@@ -269,7 +279,8 @@ def delay_vs_reviews(t: Tables, status: str = DELIVERED) -> DataFrame:
     orders = filter_not_null(delivered_orders(t, status), "order_delivered_customer_date")
     us = N.micros_between("order_estimated_delivery_date", "order_delivered_customer_date")
     rows = (orders.select("order_id", delivery_result().alias("delivery_result"), us.alias("late_us"))
-            .join(review_totals(t).select("order_id", "n_rev", "score_sum", "score_n"), "order_id"))
+            .join((review_totals(t) if reviews is None else reviews)
+                  .select("order_id", "n_rev", "score_sum", "score_n"), "order_id"))
     late = F.col("late_us") > 0
     agg = rows.groupBy("delivery_result").agg(
         F.sum("n_rev").alias("total_orders"),
@@ -312,6 +323,13 @@ def loyalty_short_labels(t: Tables, status: str = DELIVERED) -> DataFrame:
     return repeat_customers(t, status, SHORT_SEGMENT_LABELS, "segment")
 
 
+def short_labels(report: DataFrame) -> DataFrame:
+    """Q9b from Q9."""
+    short = F.create_map(*[F.lit(x) for pair in zip(SEGMENT_LABELS, SHORT_SEGMENT_LABELS) for x in pair])
+    return (report.select(short[F.col("customer_segment")].alias("segment"), "customer_count", "percentage")
+            .orderBy(*sort_cols(ORDER["q09b"])))
+
+
 # --------------------------------------------------------------------------- Q10
 def freight_by_category(t: Tables, min_avg_price=50, k: int = 15) -> DataFrame:
     """Q10: freight as a share of price per category (all orders), top ``k``.

@@ -124,10 +124,11 @@ register("chart_freight_scatter", _CSQL["chart_freight_scatter"])(
 from pyspark.sql.types import LongType  # noqa: E402
 
 from marketlens.operators import audit as A  # noqa: E402
-from marketlens.plans.catalog import run_reports  # noqa: E402
+from marketlens.plans.catalog import digest, run_reports  # noqa: E402
 from marketlens.schema import DEFAULT_MANIFEST, PRIMARY_KEYS, string_bounds, table_schema  # noqa: E402
 from marketlens.session import scratch_path  # noqa: E402
 from marketlens.sources import files as IO  # noqa: E402
+from marketlens.sources import load  # noqa: E402
 from marketlens.sources.driver import MONEY  # noqa: E402
 from marketlens.sources.sql import run_sql  # noqa: E402
 
@@ -152,14 +153,43 @@ def io_csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return IO.read_csv(spark, path, driver_schema("orders"), required=PRIMARY_KEYS["orders"])
 
 
-@register_spark("io_manifest_load", O.load_counts_sql())
+@register_spark("io_quoted_csv_scan", "SELECT doc_id, lang, md5(coalesce(text, '')) AS text_md5, length(coalesce(text, '')) AS n "
+                "FROM documents")
+def io_quoted_csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with line breaks and quotes as header CSV, read back in splits."""
+    path = scratch_path(spark, "csv-quoted")
+    IO.write_csv(spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet").select("doc_id", "lang", "text"), path)
+    text = F.coalesce("text", F.lit(""))
+    return IO.read_csv(spark, path, multi_line=True).select(
+        F.col("doc_id").cast("long").alias("doc_id"), "lang", F.md5(text.cast("binary")).alias("text_md5"),
+        F.length(text).cast("long").alias("n"))
+
+
+def _declared() -> dict[str, list[str]]:
+    return {name: driver_schema(name).fieldNames() for _, name in DEFAULT_MANIFEST}
+
+
+@register_spark("io_manifest_load", O.load_sql(_declared()))
 def io_manifest_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stage all eight tables as the manifest's CSV files, load them, count rows."""
+    """Stage all eight tables as the manifest's CSV files, load them, digest every loaded column."""
     base = scratch_path(spark, "manifest")
     frames = tables(spark, sf_dir).as_dict()
     for filename, name in DEFAULT_MANIFEST:
-        IO.write_csv(frames[name], f"{base}/{filename}")
-    return A.load_counts(IO.load_tables(spark, base, DEFAULT_MANIFEST, LongType(), MONEY))
+        IO.write_csv(frames[name], f"{base}/files/{filename}")
+    load.load(spark, f"{base}/files", f"{base}/tables", id_type=LongType(), money_type=MONEY)
+    return digest(load.loaded_tables(spark, f"{base}/tables", LongType(), MONEY).as_dict())
+
+
+@register_spark("dq_load_audit", O.load_counts_sql())
+def dq_load_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I4 as the load tells it: counts gathered while the tables are written."""
+    base = scratch_path(spark, "load-audit")
+    frames = tables(spark, sf_dir).as_dict()
+    for filename, name in DEFAULT_MANIFEST:
+        frames[name].write.parquet(f"{base}/files/{name}.parquet")
+    metrics = load.load(spark, f"{base}/files", f"{base}/tables", [(f"{n}.parquet", n) for _, n in DEFAULT_MANIFEST],
+                        id_type=LongType(), money_type=MONEY, fmt="parquet")
+    return load.counts(spark, metrics).select("table_name", "row_count")
 
 
 @register_spark("io_append_sink", O.with_mapping(
@@ -211,14 +241,8 @@ def _catalog_params() -> dict:
             "chart_freight_scatter": {"min_avg_price": _P["min_avg_price"]}}
 
 
-def _catalog_sql() -> str:
-    parts = []
-    for name, sql in {**_RSQL, "kpi_summary": O.kpi_sql(_P["since"]), **_CSQL}.items():
-        parts.append(f"SELECT '{name}' AS report, COUNT(*) AS row_count FROM ({sql}) x")
-    return "\nUNION ALL\n".join(parts)
-
-
-register("io_report_catalog", _catalog_sql())(lambda t: run_reports(t, params=_catalog_params()))
+register("io_report_catalog", O.catalog_sql({**_RSQL, "kpi_summary": O.kpi_sql(_P["since"]), **_CSQL}))(
+    lambda t: digest(run_reports(t, params=_catalog_params())))
 
 
 @register_spark("io_report_sink", _RSQL["q05_payment_methods"])

@@ -103,8 +103,9 @@ def load_tables(spark: SparkSession, directory: str,
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """Header CSV as the loader expects it (used to stage CSV inputs)."""
-    df.write.mode("overwrite").options(header="true", escape='"').csv(path)
+    """Header CSV as the loader expects it (used to stage CSV inputs); white space at the ends of text stays."""
+    df.write.mode("overwrite").options(header="true", escape='"', ignoreLeadingWhiteSpace="false",
+                                       ignoreTrailingWhiteSpace="false").csv(path)
 
 
 def append_table(df: DataFrame, target: str, fmt: str = "parquet") -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from conftest import rows
 
 from marketlens.plans import charts as C
-from marketlens.plans.catalog import CATALOG, run_reports, write_reports
+from marketlens.plans.catalog import CATALOG, build_reports, count_rows, digest, run_reports, write_reports
 from marketlens.plans.kpi import kpi_summary
 
 
@@ -52,9 +52,12 @@ def test_monthly_trend_and_scatters(fixture_tables):
 
 
 def test_run_reports_counts_every_catalog_entry(fixture_tables):
-    got = dict(rows(run_reports(fixture_tables)))
+    reports = run_reports(fixture_tables)
+    got = dict(rows(count_rows(reports)))
     assert list(got) == list(CATALOG)
     assert got["q05_payment_methods"] == 3 and got["kpi_summary"] == 1
+    # what is derived from written reports is what the tables give
+    assert sorted(rows(digest(reports))) == sorted(rows(digest(build_reports(fixture_tables))))
 
 
 def test_write_reports_one_output_per_report(spark, fixture_tables):
@@ -62,7 +65,7 @@ def test_write_reports_one_output_per_report(spark, fixture_tables):
     names = ["q05_payment_methods", "q09_repeat_customers", "kpi_summary", "chart_category_bars"]
     paths = write_reports(fixture_tables, scratch_path(spark, "test-write-reports"), names)
     assert list(paths) == names
-    counts = dict(rows(run_reports(fixture_tables, names)))
+    counts = dict(rows(count_rows(run_reports(fixture_tables, names))))
     assert {n: spark.read.parquet(p).count() for n, p in paths.items()} == counts
 
 
