@@ -49,7 +49,8 @@ class _Windows:
         k = bisect.bisect_left(self.open, (length,))
         if k < len(self.open):
             free, _, pieces = self.open.pop(k)
-            self._push(free - length, pieces + [piece])
+            pieces.append(piece)
+            self._push(free - length, pieces)
         elif len(self.open) < self.most:
             self._push(self.size - length, [piece])
         else:
@@ -90,7 +91,7 @@ def _pack(tokenizer: str, end_id: int, size: int, windows: int, min_cut: int):
                         break
                     free, _, pieces = w.open.pop(0)
                     if free >= min_cut:
-                        pieces = pieces + [piece(free)]
+                        pieces.append(piece(free))
                         at += free
                     out += [(*p, part, True) for p in w.close(pieces)]
             yield flush(out)
@@ -127,7 +128,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = 4096, win
 
     Every id of every document (its text's ids, then ``end_id``) is in exactly one piece.
     Null text: the end id alone. Repeated rows are packed each; a null doc_id stays null.
-    Empty table: no rows. A sequence ends short of ``size`` by less than ``min_cut``,
+    Empty table: no rows. Other columns are ignored, whatever their names; a text of any
+    length is encoded whole and cut at full sequences. A sequence ends short of ``size`` by less than ``min_cut``,
     save the last ones of the merge.
     """
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))

@@ -22,9 +22,17 @@ from pyspark.sql import functions as F
 from marketlens.llm.tokens import encoder
 
 SAMPLE = 64            # every 64th high position is kept for select
+SELECTED = 4096        # ends selected at a time when documents are read
 BLOCK_IDS = 1 << 20    # ids after which a block ends (a document is never cut)
 
 
+#: Byte and k -> position of its k-th set bit.
+_ONE_OF_BYTE = np.zeros((256, 8), np.int64)
+for _byte in range(256):
+    _set = [b for b in range(8) if _byte >> b & 1]
+    _ONE_OF_BYTE[_byte, :len(_set)] = _set
+
+
 class EliasFano:
     """A non-decreasing sequence of non-negative integers."""
 
@@ -73,18 +81,40 @@ class EliasFano:
         pos = byte * 8 + int(np.flatnonzero(np.unpackbits(bits, bitorder="little"))[rest])
         return (pos - i) << self.low_bits | int(self._lows(i, i + 1)[0])
 
+    def select_many(self, at: np.ndarray) -> np.ndarray:
+        """The numbers at many places: each sampled position bounds the bytes that a place's one can be in."""
+        ones = np.concatenate([[0], np.cumsum(np.bitwise_count(self.high), dtype=np.int64)])
+        first = self.samples[at // SAMPLE].astype(np.int64) // 8
+        beyond = np.append(self.samples[1:].astype(np.int64) // 8, len(self.high) - 1)[at // SAMPLE]
+        while (wide := first < beyond).any():      # the byte that holds one number at + 1
+            middle = (first + beyond) // 2
+            later = ones[middle + 1] <= at
+            first, beyond = np.where(wide & later, middle + 1, first), np.where(wide & ~later, middle, beyond)
+        pos = first * 8 + _ONE_OF_BYTE[self.high[first], at - ones[first]]
+        low = np.zeros(len(at), np.uint64)
+        for b in range(self.low_bits):
+            bit = at * self.low_bits + b
+            low |= ((self.low[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(np.uint64) << np.uint64(b)
+        return ((pos - at).astype(np.uint64) << np.uint64(self.low_bits)) | low
+
     def all(self) -> np.ndarray:
         at = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[:self.n]
         return ((at - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)) | self._lows(0, self.n)
 
 
 # --------------------------------------------------------------------------- writing
-def _encode(path: str, end_id: int | None, width: int):
+def _encode(path: str, end_id: int | None, width: int, bounds: list[int]):
+    """Documents -> their range bucket (the number of bounds below doc_id; 0 without one) and ids."""
+    cuts = np.array(bounds, np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(path), [] if end_id is None else [end_id]
         for batch in batches:
             ids = [np.concatenate([x, end]).astype(f"<u{width}").tobytes() for x in enc.encode(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+            doc = batch.column(0)
+            bucket = np.searchsorted(cuts, doc.fill_null(0).to_numpy(zero_copy_only=False), side="left").astype(np.int32)
+            bucket[doc.is_null().to_numpy(zero_copy_only=False)] = 0
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), doc, pa.array(ids, pa.binary())], names=["bucket", "doc_id", "ids"])
     return run
 
 
@@ -129,7 +159,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
     """Encode ``docs(doc_id, text)`` whole and write the token files under ``path``.
 
     Null text: only the end id. Null doc_ids come first; rows with equal doc_id are
-    ordered by their ids. The order is made by range buckets whose bounds come from
+    ordered by their ids. Other columns are ignored, whatever their names; a text of any
+    length is encoded whole and lies in one block; an empty table gives no blocks. The order is made by range buckets whose bounds come from
     doc_ids alone, so texts are encoded once.
     """
     spark = docs.sparkSession
@@ -137,12 +168,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], max(10_000, 10 * n))).first()[0]
     bounds = sorted(set(cuts or []))
-    bucket = F.lit(0)
-    if bounds:   # number of bounds below doc_id, by binary search over the sorted bounds
-        bucket = F.expr(_search([b for b in bounds], 0, len(bounds)))
     width = 2 if max(encoder(tokenizer).lib.get_vocab_size(), (end_id or 0) + 1) <= 1 << 16 else 4
-    (docs.mapInArrow(_encode(tokenizer, end_id, width), "doc_id long, ids binary")
-     .select(F.when(F.col("doc_id").isNull(), 0).otherwise(bucket).cast("int").alias("bucket"), "doc_id", "ids")
+    (docs.mapInArrow(_encode(tokenizer, end_id, width, bounds), "bucket int, doc_id long, ids binary")
      .repartitionById(len(bounds) + 1, F.col("bucket"))
      .sortWithinPartitions("bucket", "doc_id", "ids")
      .mapInArrow(_blocks(width), _BLOCK_DDL)
@@ -150,18 +177,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
     return path
 
 
-def _search(bounds: list[int], lo: int, hi: int) -> str:
-    if lo == hi:
-        return str(lo)
-    mid = (lo + hi) // 2
-    return f"if(doc_id <= {bounds[mid]}, {_search(bounds, lo, mid)}, {_search(bounds, mid + 1, hi)})"
-
-
 # --------------------------------------------------------------------------- reading
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            ends = EliasFano.from_bytes(row["ends"]).all().astype(np.int64)
+            coded, n = EliasFano.from_bytes(row["ends"]), row["docs"]
+            ends = (np.concatenate([coded.select_many(np.arange(i, min(i + SELECTED, n))) for i in range(0, n, SELECTED)])
+                    .astype(np.int64))
             ids = np.frombuffer(row["ids"], f"<u{row['width']}").astype("<u4")
             docs = EliasFano.from_bytes(row["doc_ids"]).all() + np.int64(row["base"]).astype(np.uint64)
             starts = np.concatenate([[0], ends[:-1]])
