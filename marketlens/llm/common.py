@@ -38,6 +38,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def columns_beside(df: DataFrame, *added: str) -> list[str]:
+    """Columns of ``df`` but those that an added one would clash with, whatever their case."""
+    low = {a.lower() for a in added}
+    return [c for c in df.columns if c.lower() not in low]
+
+
 def sized_broadcast(df: DataFrame, rows: int) -> DataFrame:
     """``df`` hinted for broadcast if its counted ``rows`` are within the bound."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

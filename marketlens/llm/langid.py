@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from marketlens.llm.common import columns_beside
+
 DIM, N, SEED = 1024, 3, 20
 UNIT = 1 << 20          # unit vectors are rounded to this, so that sums do not depend on their order
 MAX_LANGUAGES = 10_000  # prototypes come to the driver: 8 KB each
@@ -177,7 +179,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "te
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())],
                                              names=["row", "lang_pred", "score"])
 
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    kept = columns_beside(docs, "lang_pred", "score")
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{text}`").alias("text"))
     schema = StructType([d.schema["row"], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     return d.mapInArrow(run, schema).select(*[F.col(f"row.`{c}`").alias(c) for c in kept], "lang_pred", "score")

@@ -8,7 +8,7 @@ documents: grouped sums over all documents, a host's share shrunk towards the
 global one and a path's towards its host's, the more the fewer documents it
 has; the strength of either prior comes from how much the groups really differ
 (method of moments). A document's posterior log-odds are its evidence plus
-those of its path's share.
+those of its path's share, counted without the document itself.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import sized_broadcast, written
+from marketlens.llm.common import columns_beside, sized_broadcast, written
 
 LABELLED_ROWS = 20_000   # labelled documents the model is fitted on at most, taken by hash of doc_id
 THRESHOLD = 0.5
@@ -79,26 +79,40 @@ def _strength(n: Column, share: Column, mean: Column) -> Column:
     return F.least(F.greatest(within / between - 1, F.lit(_LIMITS[0])), F.lit(_LIMITS[1]))
 
 
-def site_shares(scored: DataFrame, base: float) -> DataFrame:
-    """``(host, path, e)`` of all documents -> ``path, share``: posterior share of good documents.
+def _chance(e: Column, base: float) -> Column:
+    """A document's own probability of being good, at the base rate."""
+    return 1 / (1 + F.exp(-(e + math.log(base / (1 - base)))))
 
-    A document counts with its own probability at the base rate; only grouped sums are
-    shuffled, and two rows (the strengths of the priors) reach the driver.
+
+def site_counts(scored: DataFrame, base: float) -> DataFrame:
+    """``(host, path, e)`` of all documents -> per path ``mean, hk, hs, hn, pk, s, n``: the global share, the
+    strengths of the host's and the path's prior, and either's sum of probabilities and number of documents.
+
+    Only grouped sums are shuffled, and two rows (the strengths) reach the driver.
     """
-    p = 1 / (1 + F.exp(-(F.col("e") + math.log(base / (1 - base)))))
-    paths = written(scored.groupBy("host", "path").agg(F.count("*").cast("double").alias("n"), F.sum(p).alias("s")), "quality-paths")
+    paths = written(scored.groupBy("host", "path").agg(F.count("*").cast("double").alias("n"), F.sum(_chance(F.col("e"), base)).alias("s")),
+                    "quality-paths")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
     total = hosts.agg(F.sum("hs") / F.sum("hn")).first()[0]
     mean = min(max(total if total is not None else base, 1e-6), 1 - 1e-6)
-    k = hosts.agg(_strength(F.col("hn"), F.col("hs") / F.col("hn"), F.lit(mean))).first()[0] or _LIMITS[1]
-    hosts = hosts.select("host", ((F.lit(k * mean) + F.col("hs")) / (k + F.col("hn"))).alias("h"))
-    both = paths.join(hosts, "host")
-    k = both.agg(_strength(F.col("n"), F.col("s") / F.col("n"), F.col("h"))).first()[0] or _LIMITS[1]
-    return both.select("path", ((F.col("h") * k + F.col("s")) / (k + F.col("n"))).alias("share"))
+    hk = hosts.agg(_strength(F.col("hn"), F.col("hs") / F.col("hn"), F.lit(mean))).first()[0] or _LIMITS[1]
+    both = paths.join(hosts, "host").withColumns({"mean": F.lit(mean), "hk": F.lit(hk)})
+    host = (F.col("hk") * F.col("mean") + F.col("hs")) / (F.col("hk") + F.col("hn"))
+    pk = both.agg(_strength(F.col("n"), F.col("s") / F.col("n"), host)).first()[0] or _LIMITS[1]
+    return both.select("path", "mean", "hk", "hs", "hn", F.lit(pk).alias("pk"), "s", "n")
+
+
+def site_share(own: Column | None = None) -> Column:
+    """Posterior share of good documents of a path, from :func:`site_counts`; without the document whose
+    probability is ``own``, so that its evidence does not count twice."""
+    p, one = (F.lit(0.0), F.lit(0.0)) if own is None else (own, F.lit(1.0))
+    host = (F.col("hk") * F.col("mean") + F.col("hs") - p) / (F.col("hk") + F.col("hn") - one)
+    return (F.col("pk") * host + F.col("s") - p) / (F.col("pk") + F.col("n") - one)
 
 
 def classify(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS) -> DataFrame:
-    """Documents with ``p_good`` added (0 to 1): every column and row of ``docs`` stays.
+    """Documents with ``p_good`` added (0 to 1; in place of a column of that name): every other column and
+    row of ``docs`` stays.
 
     The model is fitted on at most ``labelled_rows`` documents with a quality label (those
     with the smallest hash of doc_id); everything else covers all documents. Null or blank
@@ -115,12 +129,13 @@ def classify(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_R
               sites.where("some").join(chosen, "doc_id").dropDuplicates(["doc_id"]).select("x", "quality").collect()]
     weights = fit(sample)
     good = np.mean([q for _, q in sample]) if any(weights) else 0.5
-    shares = written(site_shares(sites.where("some").select("host", "path", evidence(weights, F.col("x")).alias("e")),
+    shares = written(site_counts(sites.where("some").select("host", "path", evidence(weights, F.col("x")).alias("e")),
                                  float(good)), "quality-shares")
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _site(docs)[1],
                        evidence(weights, stats).alias("e"), (F.coalesce(F.length(F.trim("text")), F.lit(0)) > 0).alias("some"))
     joined = rows.join(sized_broadcast(shares, shares.count()), "path", "left")
-    share = F.least(F.greatest(F.coalesce("share", F.lit(float(good))), F.lit(1e-6)), F.lit(1 - 1e-6))
+    share = F.coalesce(site_share(_chance(F.col("e"), float(good))), F.lit(float(good)))
+    share = F.least(F.greatest(share, F.lit(1e-6)), F.lit(1 - 1e-6))
     p = F.when(F.col("some"), 1 / (1 + F.exp(-(F.col("e") + F.log(share / (1 - share)))))).otherwise(0.0)
-    return joined.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != "p_good"], p.alias("p_good"))
+    return joined.select(*[F.col(f"row.`{c}`").alias(c) for c in columns_beside(docs, "p_good")], p.alias("p_good"))

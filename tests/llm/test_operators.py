@@ -286,10 +286,77 @@ def test_quality_separates_labelled_documents_and_shrinks_sites(spark, odd, none
     assert quality.classify(odd, labels).count() == len(ODD) and quality.classify(none, labels).count() == 0
     assert quality.classify(odd, labels.limit(0)).count() == len(ODD)
     scored = spark.createDataFrame([("h", "h/a", 4.0)] * 200 + [("h", "h/b", -4.0)] + [("i", "i/c", -4.0)] * 200, "host string, path string, e double")
-    share = {r.path: r.share for r in quality.site_shares(scored, 0.5).collect()}
+    share = {r.path: r.share for r in quality.site_counts(scored, 0.5).select("path", quality.site_share().alias("share")).collect()}
     assert share["h/a"] > 0.9 > share["h/b"] > share["i/c"]
 
 
+def test_quality_equals_plain_empirical_bayes(spark):
+    """Grouped sums, moments and posteriors written out, for weights fitted on all labelled rows."""
+    df, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    df = df.withColumn("P_Good", F.lit("clash"))
+    rows = df.select("doc_id", "source", "lang", quality.statistics(F.col("text")).alias("x"),
+                     (F.length(F.trim(F.coalesce("text", F.lit("")))) > 0).alias("some")).collect()
+    label = {r.doc_id: r.quality for r in labels.where("quality in (0, 1)").collect()}
+    sample = [(list(r.x), label[r.doc_id]) for r in rows if r.some and r.doc_id in label]
+    w, base = quality.fit(sample), np.mean([q for _, q in sample])
+    logit = np.log(base / (1 - base))
+    docs_ = []
+    for r in rows:
+        e = min(max(w[0] + sum(a * b for a, b in zip(w[1:], r.x)), -30.0), 30.0)
+        docs_.append((r.doc_id, (r.source or "").split("/")[0], f"{r.source or ''}/{r.lang or ''}", e, 1 / (1 + np.exp(-(e + logit))), r.some))
+
+    def grouped(key):
+        out = {}
+        for d in docs_:
+            if d[5]:
+                n, s = out.get(d[key], (0.0, 0.0))
+                out[d[key]] = n + 1, s + d[4]
+        return out
+
+    def strength(groups, mean):
+        n, s, m = (np.array(v) for v in zip(*[(n, s, mean(k)) for k, (n, s) in groups.items()]))
+        between = max(((n * (s / n - m) ** 2).sum() - (m * (1 - m)).sum()) / max(n.sum() - (n * n).sum() / n.sum(), 1e-9), 1e-9)
+        return min(max((n * m * (1 - m)).sum() / n.sum() / between - 1, quality._LIMITS[0]), quality._LIMITS[1])
+
+    hosts, paths, host_of = grouped(1), grouped(2), {d[2]: d[1] for d in docs_}
+    mean = sum(s for _, s in hosts.values()) / sum(n for n, _ in hosts.values())
+    hk = strength(hosts, lambda k: mean)
+    pk = strength(paths, lambda k: (hk * mean + hosts[host_of[k]][1]) / (hk + hosts[host_of[k]][0]))
+    got = {r.doc_id: r.p_good for r in quality.classify(df, labels).collect()}
+    for doc, host, path, e, p, some in docs_:
+        if not some:
+            assert got[doc] == 0
+            continue
+        h = (hk * mean + hosts[host][1] - p) / (hk + hosts[host][0] - 1)
+        share = min(max((pk * h + paths[path][1] - p) / (pk + paths[path][0] - 1), 1e-6), 1 - 1e-6)
+        assert got[doc] == pytest.approx(1 / (1 + np.exp(-(e + np.log(share / (1 - share))))), abs=1e-6)
+
+
+def test_a_lone_document_of_a_site_does_not_count_twice(spark):
+    counts = spark.createDataFrame([("h", "h/a", 3.0)] * 50 + [("h", "h/b", -3.0)], "host string, path string, e double")
+    of = quality.site_counts(counts, 0.5).where("path = 'h/b'")
+    own = 1 / (1 + np.exp(3.0))
+    with_own, without = of.select(quality.site_share(), quality.site_share(F.lit(float(own)))).first()
+    host = of.select(((F.col("hk") * F.col("mean") + F.col("hs") - own) / (F.col("hk") + F.col("hn") - 1))).first()[0]
+    assert without == pytest.approx(host) and with_own < without      # nothing is left of the path: its host's share
+
+
+@pytest.mark.parametrize("column", ["removed_lines", "Removed_Lines", "p_good", "P_GOOD", "LANG_PRED", "Score"])
+def test_clashing_columns_do_not_crash(spark, odd, column):
+    df = odd.withColumn(column, F.lit(7))
+    labels = spark.createDataFrame([(6, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    made = [lines.dedup_lines(df), quality.classify(df, labels), langid.identify(df, langid.learn(odd.where("doc_id is not null")))]
+    for out in made:
+        names = [c.lower() for c in out.columns]
+        assert len(names) == len(set(names)) and out.count() == len(ODD)
+
+
+def test_stages_of_empty_tables(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs(spark).select(*corpus_pipeline.COLUMNS).limit(0), SF).count() == 0, name
+
+
 # --------------------------------------------------------------------------- 8
 def test_bpe_equals_the_library(spark, odd, none):
     df = odd.select("doc_id", "text").unionByName(docs(spark).select("doc_id", "text").limit(80))
