@@ -16,7 +16,7 @@ from marketlens.llm.common import scratch, sized_broadcast, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_COSINE = 6 / langid.DIM ** 0.5   # six standard deviations of the cosine of unlike vectors
-LEAST_SHARE = 0.01   # of a language's training texts score no more than is asked of a text of it
+SHORT_CHARS = 40   # texts under so many characters say too little to be told from noise
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,19 +29,16 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and those like no learned language; ``lang`` becomes the prediction.
 
-    A text has to score what all but a hundredth of the training texts of its language score, and
-    ``LEAST_COSINE`` at least; texts of one or two words have too few n-grams for that and go.
+    A text is like no language if it scores no more than ``LEAST_COSINE``, what unlike vectors may.
+    Texts under ``SHORT_CHARS`` characters stay all the same, with lang ``und``. Null texts go; null and
+    repeated doc_ids and repeated rows are judged like others; an empty table gives no rows.
     """
     docs = docs.select(*COLUMNS)
     training = ~langid.held_out() & F.col("doc_id").isNotNull()
-    found = written(langid.identify(docs, langid.learn(docs.where(training))), "pipeline-language")
-    # thousandths: few values a language, so that the quantile is exact
-    least = (found.where(training & (F.col("lang") == F.col("lang_pred"))).groupBy(F.col("lang").alias("of"))
-             .agg(F.percentile(F.round("score", 3), F.lit(LEAST_SHARE)).alias("least")))
-    kept = (found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_COSINE))
-            .join(sized_broadcast(least, langid.MAX_LANGUAGES), F.col("lang_pred") == F.col("of"), "left")
-            .where(F.col("score") >= F.coalesce("least", F.lit(LEAST_COSINE))))
-    return kept.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
+    found = langid.identify(docs, langid.learn(docs.where(training))).where(F.col("lang_pred") != "und")
+    like = F.col("score") >= LEAST_COSINE
+    kept = found.where(like | (F.length(F.trim("text")) < SHORT_CHARS))
+    return kept.withColumn("lang", F.when(like, F.col("lang_pred")).otherwise("und")).select(*COLUMNS)
 
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
