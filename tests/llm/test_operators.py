@@ -535,6 +535,18 @@ def test_language_stage_drops_foreign_texts_and_letter_junk(spark):
     assert len(kept) >= 0.9 * clean.select("doc_id").distinct().count()
 
 
+def test_language_stage_keeps_short_texts_and_all_real_ones(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    clean = docs(spark).select(*corpus_pipeline.COLUMNS)
+    words = [w for r in clean.limit(5).collect() for w in r.text.split()][:30]
+    short = [" ".join(words[i:i + 1 + i % 3]) for i in range(0, 27, 3)] + ["Ok", "Zażółć gęślą", "123 45"]
+    rows = spark.createDataFrame([(10 ** 9 + i, t, None, "x", len(t)) for i, t in enumerate(short)], clean.schema)
+    kept = {r.doc_id: r.lang for r in corpus_pipeline.language_stage(spark, clean.unionByName(rows), SF).collect()}
+    assert [10 ** 9 + i in kept for i in range(len(short))] == [True] * (len(short) - 1) + [False]     # no letter: goes
+    real = {r.doc_id for r in clean.where("text rlike '[a-zA-Z]{3}'").collect()}
+    assert len(real & set(kept)) >= 0.995 * len(real)
+
+
 def test_near_duplicate_stage_keeps_one_row_of_a_group(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     a, b, c = (" ".join(f"{w}{i}" for i in range(40)) for w in ("alpha", "beta", "gamma"))
