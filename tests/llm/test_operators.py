@@ -489,6 +489,30 @@ def test_lines_with_a_changed_word_or_letter_are_found(spark, tmp_path):
     assert all(sum(got[90 + g + i] for i in range(30)) >= 24 for g in (0, 30, 60))
 
 
+def test_line_blocks_by_class_equal_brute_force(spark):
+    import xxhash
+    texts = [(n, " ".join(f"w{i * 7919 % 100003}" for i in range(n)) + " w0 w0") for n in (5, 31, 32, 126, 127, 128, 300, 2500)]
+    runs = common.written(lines.class_votes(spark.createDataFrame(texts, "doc_id long, text string"), 5), "test-votes")
+    got = {r.doc_id: r for r in lines.class_prints(runs).collect()}
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+
+    def prints(hashes, classes):   # class c, bit b of byte k
+        out = [0, 0]
+        for c in range(classes):
+            mine = [h for h in hashes if (h >> 5 & 7) % classes == c]
+            for k in range(8):
+                for half in (0, 1):
+                    if 2 * sum(h >> 8 * k + half & 1 for h in mine) > len(mine):
+                        out[c // 4] |= 1 << 8 * k + half + 2 * (c % 4)
+        return [signed(v) for v in out]
+
+    for n, text in texts:
+        hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in dict.fromkeys(text.split())]
+        assert [got[n].f0, got[n].f1] == prints(hashes, 8) and got[n].n == len(hashes)
+        assert got[n].f4 == (prints(hashes, 4)[0] if len(hashes) < 32 else None)
+    assert len(got) == len(texts)
+
+
 def test_short_lines_and_lines_without_spaces_are_deduplicated(spark, tmp_path):
     han = ["".join(chr(0x4E00 + c) for c in np.random.default_rng(i).integers(0, 3000, 40)) for i in range(10)]
     near = [h[:20] + "龜" + h[21:] for h in han]
