@@ -310,3 +310,16 @@ _register_partials("q02", "q02_revenue_by_category")
 _register_partials("q03", "q03_orders_by_state")
 _register_partials("q04", "q04_delivery_delay")
 _register_partials("q05", "q05_payment_methods")
+
+
+# --------------------------------------------------------------------------- storage by month and order
+from marketlens.sources.layout import read_by_month, write_by_month  # noqa: E402
+
+_LAYOUT_BUCKETS = 4
+
+
+@register_spark("layout_q01_monthly_revenue", _RSQL["q01_monthly_revenue"])
+def _q01_from_monthly_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tables(spark, sf_dir)
+    layout = write_by_month(t, scratch_path(spark, "layout-q01"), buckets=_LAYOUT_BUCKETS)
+    return numbered(R.monthly_revenue(read_by_month(spark, layout, t, _P["since"]), since=_P["since"]), R.ORDER["q01"])
