@@ -123,9 +123,14 @@ def _over_threshold(nodes: int):
     return run
 
 
-def _met(rows: DataFrame, queries: DataFrame) -> DataFrame:
-    """Every block of rows with every block of queries of its node and length."""
-    return queries.join(rows, ["node", "d"])
+def _met(rows: DataFrame, queries: DataFrame, parts: int) -> DataFrame:
+    """Every block of rows with every block of queries of its node and length.
+
+    Blocks of rows are dealt out to ``parts`` (their column ``part``; no more than there are blocks), and each part
+    gets every block of queries.
+    """
+    spread = queries.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return spread.repartition(2 * parts, "node", "d", "part").join(rows.repartition(2 * parts, "node", "d", "part"), ["node", "d", "part"])
 
 
 def _score(pairs: DataFrame, v: DataFrame) -> DataFrame:
@@ -160,12 +165,14 @@ def top_k(embeddings: DataFrame, every: int = 100, k: int = 10, nodes: int = 2,
     v = written(integers(embeddings, scale), "topk-vectors")
     asked = v.where(F.col("vec_id") % every == 0)
     rows = written(v.mapInArrow(_blocks(ROWS, nodes), _BLOCK_DDL), "topk-rows")
+    parts = max(min(rows.count() // nodes, int(embeddings.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 1)
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int"))
     queries = written(asked.mapInArrow(_blocks(QUERIES, nodes), _BLOCK_DDL)
                       .withColumn("b", F.monotonically_increasing_id()), "topk-queries")
     q = queries.select("node", "d", F.col("ids").alias("q_ids"), F.col("x").alias("q_x"), "b")
 
     # 1: local lists, and the k-th best exact score among what they hold
-    lists = _met(rows, q).drop("b").mapInArrow(_local_lists(k), _ENTRY_DDL)
+    lists = _met(rows, q, parts).drop("b").mapInArrow(_local_lists(k), _ENTRY_DDL)
     w = Window.partitionBy("node", "query_id").orderBy(F.desc("s"), "vec_id")
     listed = lists.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("query_id", "vec_id").distinct()
     cutoffs = (_ranked(_score(listed, v), k).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("c"))
@@ -177,7 +184,7 @@ def top_k(embeddings: DataFrame, every: int = 100, k: int = 10, nodes: int = 2,
         F.collect_list("query_id").alias("c_ids"), F.collect_list("c").alias("c"))
     q2 = q.join(in_block, "b", "left").withColumns({"c_ids": F.coalesce("c_ids", F.array().cast("array<long>")),
                                                     "c": F.coalesce("c", F.array().cast("array<long>"))}).drop("b")
-    entries = _met(rows, q2).mapInArrow(_over_threshold(nodes), _ENTRY_DDL)
+    entries = _met(rows, q2, parts).mapInArrow(_over_threshold(nodes), _ENTRY_DDL)
 
     # 3: drop by upper bound, score the rest exactly
     sums = entries.groupBy("query_id", "vec_id").agg(F.count("*").alias("m"), F.sum("s").alias("known"))

@@ -261,6 +261,25 @@ def test_nearest_recall_of_the_given_vectors(spark):
     assert len(got) >= 40 and hits >= 0.95 * 5 * len(got)
 
 
+def test_top_k_products_run_in_more_than_two_tasks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "ROWS", 16)
+    x = np.random.default_rng(11).normal(size=(400, 8))
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    v = topk.integers(df)
+    rows = v.mapInArrow(topk._blocks(16, 2), topk._BLOCK_DDL).withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(4)).cast("int"))
+    queries = v.where("vec_id % 100 = 0").mapInArrow(topk._blocks(512, 2), topk._BLOCK_DDL)
+    q = queries.select("node", "d", F.col("ids").alias("q_ids"), F.col("x").alias("q_x"))
+    met = topk._met(rows, q, 4)
+    assert met.count() == sum(queries.where(F.col("node") == n).count() * rows.where(F.col("node") == n).count() for n in (0, 1))
+    assert met.select(F.spark_partition_id()).distinct().count() > 2
+    ints = np.floor(x * 1024).astype(np.int64)
+    want = set()
+    for a in range(0, 400, 100):
+        best = sorted(((-int(ints[a] @ ints[b]), b) for b in range(400) if b != a))[:10]
+        want |= {(a, r + 1, b, -s) for r, (s, b) in enumerate(best)}
+    assert {tuple(r) for r in topk.top_k(df).collect()} == want
+
+
 def test_top_k_equals_brute_force(spark):
     rows, df = vectors(spark)
     ok = {i: np.floor(1024 * np.array(v, np.float64)).astype(int) for i, v in rows
