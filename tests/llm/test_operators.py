@@ -508,6 +508,41 @@ def test_lines_with_a_changed_word_or_letter_are_found(spark, tmp_path):
     assert all(sum(got[90 + g + i] for i in range(30)) >= 24 for g in (0, 30, 60))
 
 
+def test_a_group_of_near_lines_makes_few_pairs_and_stays_whole(spark, monkeypatch):
+    rng, sizes = np.random.default_rng(8), {}
+    words = [f"term{i}" for i in range(60)]
+    copies = [" ".join(f"other{rng.integers(10 ** 6)}" if rng.random() < 0.05 else w for w in words) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(copies)), "doc_id long, text string")
+
+    def counted(rows, name):
+        out = common.written(rows, name)
+        sizes[name] = max(sizes.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(lines, "written", counted)
+    _, repeated = lines.line_groups(df, whole=True)
+    kept = repeated.select("first").distinct().count() + len(set(copies)) - repeated.count()
+    assert kept <= 3 and sizes["lines-star"] <= 300 * 8 and sizes["lines-pairs"] <= 900   # with all pairs but those of two shared blocks: 2842
+
+
+def test_letters_refuse_no_similar_line(spark):
+    rng, rows = np.random.default_rng(9), []
+    for i in range(400):
+        a = list(rng.choice(list("abcdeé "), rng.integers(20, 200), p=[.4, .2, .1, .1, .1, .05, .05]))
+        b = list(a)
+        for _ in range(int(rng.integers(0, len(a) // 3 + 1))):
+            at = int(rng.integers(0, len(b) + 1))
+            b[at:at + int(rng.integers(0, 2))] = list(rng.choice(list("hldcé"), rng.integers(0, 2)))
+        b = b if i % 4 else list(rng.choice(list("hldcmu "), len(a)))
+        rows.append((i, "".join(a), "".join(b)))
+    df = spark.createDataFrame(rows, "id int, a string, b string")
+    of = lambda c: F.struct(F.length(c).alias("chars"), *[x.alias(f"l{i}") for i, x in enumerate(lines._letter_counts(F.col(c)))])
+    got = (df.select("a", "b", of("a").alias("x"), of("b").alias("y"))
+           .select(lines.similar(F.col("a"), F.col("b"), 0.8).alias("s"), lines._letters_allow(0.8).alias("may")).collect())
+    assert not [r for r in got if r.s and not r.may]
+    assert sum(not r.may for r in got) > 20 and sum(r.s for r in got) > 20
+
+
 def test_line_blocks_by_class_equal_brute_force(spark):
     import xxhash
     texts = [(n, " ".join(f"w{i * 7919 % 100003}" for i in range(n)) + " w0 w0") for n in (5, 31, 32, 126, 127, 128, 300, 2500)]
