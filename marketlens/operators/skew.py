@@ -25,6 +25,13 @@ def heavy_hitters(df: DataFrame, key: str, share: int = SHARE) -> DataFrame:
             .select(F.col("t.item").alias(key)))
 
 
+def heaviest(counted: DataFrame, key: str, rows: str, share: int = SHARE) -> DataFrame:
+    """As ``heavy_hitters``, exactly, where the ``rows`` of each key are counted already."""
+    total = counted.agg(F.sum(rows).alias("__n"))
+    top = counted.where(F.col(key).isNotNull() & (F.col(rows) > 0)).select(key, rows).orderBy(F.desc(rows)).limit(HOT_KEYS)
+    return top.crossJoin(F.broadcast(total)).where(F.col(rows) * share >= F.col("__n")).select(key)   # total: one row
+
+
 def salted_join(many: DataFrame, one: DataFrame, key: str, spread: str, hot: DataFrame, parts: int | None = None) -> DataFrame:
     """``many`` inner-joined to ``one`` on ``key``; rows of ``many`` with a hot key are dealt out by
     ``spread`` to ``parts`` parts (default: the session's shuffle partitions)."""

@@ -2,8 +2,8 @@
 
 Base reports come from the tables; the KPI row, the charts and the short loyalty labels
 come from base reports. Two aggregates of the fact tables serve several base reports:
-item totals per order (Q1, Q3) and review totals per order (Q6, Q7, Q8). A run writes the
-shared aggregates, then every base report it needs once (per distinct set of parameters),
+item totals per order (Q1, Q3, hot orders of Q6) and review totals per order (Q6, Q7, Q8). A run writes the
+shared aggregates (and the orders, if they are derived by a join that several reports would repeat), then every base report it needs once (per distinct set of parameters),
 then what is derived from the written ones.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import inspect
 from collections.abc import Callable, Iterable, Mapping
+from dataclasses import replace
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -27,6 +28,10 @@ CATALOG = {**R.REPORTS, "kpi_summary": kpi_summary, **C.CHARTS}
 SHARED = {"per_order": R.item_totals, "reviews": R.review_totals}
 
 
+#: Base reports that read every column of the orders, so that no join behind these can be pruned.
+WHOLE_ORDERS = {"q04_delivery_delay", "q08_delay_vs_reviews", "q08b_review_distribution"}
+
+
 class Derived(NamedTuple):
     """Base reports with the parameters they get from the entry's own, and the function of their frames."""
 
@@ -79,6 +84,9 @@ def write_graph(t: Tables, directory: str, names: Iterable[str] | None = None,
     only others need goes to ``{directory}/_shared``. Returns entry -> path."""
     names, params, spark = list(names or CATALOG), params or {}, t.orders.sparkSession
     bases, links = plan(names, params)
+    derived = t.orders._jdf.queryExecution().optimizedPlan().collectLeaves().size() > 1
+    if derived and sum(name in WHOLE_ORDERS for name, _ in bases) > 1:
+        t = replace(t, orders=spark.read.parquet(write_report(t.orders, f"{directory}/_shared", "orders")))
     takes = {a for name, _ in bases for a in inspect.signature(R.REPORTS[name]).parameters if a in SHARED}
     shared = {a: spark.read.parquet(write_report(SHARED[a](t), f"{directory}/_shared", a)) for a in sorted(takes)}
     paths, frames = {}, {}

@@ -40,7 +40,7 @@ from marketlens.operators.aggregates import count_distinct, count_rows, count_wh
 from marketlens.operators.joins import product_categories
 from marketlens.operators.ordering import asc, desc, sort_cols, top_k
 from marketlens.operators.relational import filter_eq, filter_not_null, filter_since
-from marketlens.operators.skew import heavy_hitters, salted_join
+from marketlens.operators.skew import heaviest, heavy_hitters, salted_join
 from marketlens.operators.windows import window_share
 from marketlens.tables import Tables
 
@@ -183,7 +183,8 @@ def review_totals(t: Tables) -> DataFrame:
         count_where(score == 5).alias("five"), count_where(score == 1).alias("one"))
 
 
-def top_sellers(t: Tables, status: str = DELIVERED, k: int = 10, reviews: DataFrame | None = None) -> DataFrame:
+def top_sellers(t: Tables, status: str = DELIVERED, k: int = 10, reviews: DataFrame | None = None,
+                per_order: DataFrame | None = None) -> DataFrame:
     """Q6: top ``k`` sellers by revenue of delivered, reviewed orders, with review mean.
 
     Each item counts once per review of its order (the reference's fan-out).
@@ -191,16 +192,17 @@ def top_sellers(t: Tables, status: str = DELIVERED, k: int = 10, reviews: DataFr
     order join, so the fan-out becomes a product of sums (``price_sum *
     reviews``) and repeated items of a seller collapse map-side. What a hot
     order still has is a row per seller: such orders are found by a frequency
-    sketch and dealt out by seller (:mod:`marketlens.operators.skew`). The
+    sketch (or by ``per_order``, :func:`item_totals`, where it is at hand) and dealt out by seller (:mod:`marketlens.operators.skew`). The
     seller attributes join after the per-seller aggregate.
     """
     items = t.order_items.groupBy("order_id", "seller_id").agg(
         count_rows().alias("n_items"), F.sum("price").alias("price_sum"),
         F.count("price").alias("price_n"))
-    per_order = (delivered_orders(t, status).select("order_id")
-                 .join((review_totals(t) if reviews is None else reviews)
-                       .select("order_id", "n_rev", "score_sum", "score_n"), "order_id"))
-    rows = salted_join(items, per_order, "order_id", "seller_id", heavy_hitters(t.order_items, "order_id"))
+    reviewed = (delivered_orders(t, status).select("order_id")
+                .join((review_totals(t) if reviews is None else reviews)
+                      .select("order_id", "n_rev", "score_sum", "score_n"), "order_id"))
+    hot = heavy_hitters(t.order_items, "order_id") if per_order is None else heaviest(per_order, "order_id", "price_n")
+    rows = salted_join(items, reviewed, "order_id", "seller_id", hot)
     per_seller = rows.groupBy("seller_id").agg(
         count_distinct("order_id").alias("total_orders"),
         F.sum(F.col("price_sum") * F.col("n_rev")).alias("rev"),

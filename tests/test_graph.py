@@ -50,6 +50,23 @@ def test_the_catalog_scans_each_fact_table_as_often_as_its_base_reports_need(spa
     assert all(facts[t] < lazy.count(t) for t in facts)
 
 
+def test_orders_derived_by_a_join_are_made_once(spark, monkeypatch):
+    seen = []
+    write = G.write_report
+
+    def noted(df, directory, name, *rest):
+        seen.extend(scans(df))
+        return write(df, directory, name, *rest)
+
+    monkeypatch.setattr(G, "write_report", noted)
+    t = driver_tables(spark, SF)
+    names = ["q04_delivery_delay", "q06_top_sellers", "q08_delay_vs_reviews", "q08b_review_distribution"]
+    made = run_reports(t, names)
+    # delivery dates, and the items of Q6 with their sketch for both sides of its join
+    assert seen.count("lineitem.parquet") <= 4 and seen.count("orders.parquet") == 1
+    assert sorted(rows(digest(made))) == sorted(rows(digest(build_reports(t, names))))
+
+
 def test_parameters_of_derived_entries_get_their_own_base(spark, staged):
     names = ["q02_revenue_by_category", "chart_category_bars", "kpi_summary", "chart_monthly_trend"]
     params = {"chart_category_bars": {"k": 3}, "chart_monthly_trend": {"since": "1998-01-01"}, "kpi_summary": {"since": "1997-01-01"}}

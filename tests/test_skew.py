@@ -104,6 +104,14 @@ def many_sellers(spark):
     return items
 
 
+def test_heaviest_of_counted_keys_are_found_and_bounded(spark, many_sellers):
+    counted = many_sellers.groupBy("order_id").agg(F.count(F.lit(1)).alias("n"))
+    assert [r.order_id for r in skew.heaviest(counted, "order_id", "n").collect()] == ["hot"]
+    assert skew.heaviest(counted.limit(0), "order_id", "n").count() == 0
+    assert skew.heaviest(counted.select(F.lit(None).cast("string").alias("order_id"), "n"), "order_id", "n").count() == 0
+    assert skew.heaviest(spark.range(250).select(F.col("id").alias("k"), F.lit(2).alias("n")), "k", "n").count() <= skew.HOT_KEYS
+
+
 def test_heavy_hitters_are_found_and_bounded(spark, many_sellers):
     from marketlens.operators import skew
     assert [r.order_id for r in skew.heavy_hitters(many_sellers, "order_id").collect()] == ["hot"]
