@@ -525,6 +525,56 @@ def test_a_group_of_near_lines_makes_few_pairs_and_stays_whole(spark, monkeypatc
     assert kept <= 3 and sizes["lines-star"] <= 300 * 8 and sizes["lines-pairs"] <= 900   # with all pairs but those of two shared blocks: 2842
 
 
+def test_components_leave_no_shuffle_files_of_their_rounds(spark):
+    import time
+
+    def files():
+        return spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+
+    edges = common.written(spark.range(300).selectExpr("id a", "id + 1 b"), "test-path")
+    common.swept(edges)
+    time.sleep(2)
+    before = files()
+    roots = common.connected_components(edges)
+    for _ in range(20):
+        if files() <= before + 60:
+            break
+        time.sleep(0.5)
+    assert files() <= before + 60
+    assert roots.count() == 301 and roots.where("root <> 0").count() == 0
+
+
+def test_line_dedup_leaves_only_what_its_result_reads(spark):
+    import pathlib
+
+    top = pathlib.Path(common.shared_dir(spark).removeprefix("file:")) / "marketlens-llm"
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    df = spark.createDataFrame([(1, words + " one"), (2, words + " one\nother things are said here"), (3, words + " two")],
+                               "doc_id long, text string")
+    before = set(top.iterdir()) if top.exists() else set()
+    out = lines.dedup_lines(df, whole=True)
+    left = sorted(x.name.rpartition("-")[0] for x in set(top.iterdir()) - before)
+    assert left == ["lines-drop"]
+    assert {r.doc_id: r.text for r in out.collect()} == {1: words + " one", 2: "other things are said here", 3: ""}
+
+
+def test_line_pairs_of_shared_blocks_equal_brute_force(spark):
+    texts = [(i, "the same nine words of a line but number " + str(i % 3) * (1 + i % 2)) for i in range(12)] + [(99, "nothing like any of these at all")]
+    runs = common.written(lines.class_votes(spark.createDataFrame(texts, "doc_id long, text string"), 5), "test-votes")
+    marked = common.written(lines.class_prints(runs).withColumn("id", F.col("doc_id")), "test-prints")
+    keys = {}
+    for r in marked.where("n > 0").select(lines._block_keys(), "id").collect():
+        keys.setdefault(r.key, set()).add(r.id)
+    shared = lines.shared_blocks(marked)
+    assert {r.key for r in shared.collect()} == {k for k, ids in keys.items() if len(ids) > 1}
+    members = lines.block_members(marked, shared, 0)
+    assert sorted((r.key, r.id) for r in members.collect()) == sorted((k, i) for k, ids in keys.items() if len(ids) > 1 for i in ids)
+    near = members.withColumn("root", F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id")))
+    got = {(r.a, r.b) for r in lines.block_candidates(near, 0.8, star=False).collect()}
+    every = {(r.a, r.b) for r in lines.block_candidates(members.withColumn("root", F.col("id")), 0.8, star=False).collect()}
+    assert got == {(a, b) for a, b in every if a % 2 or b % 2} and got and got != every
+
+
 def test_letters_refuse_no_similar_line(spark):
     rng, rows = np.random.default_rng(9), []
     for i in range(400):
