@@ -627,6 +627,37 @@ def test_short_lines_and_lines_without_spaces_are_deduplicated(spark, tmp_path):
     assert sum(got[i] for i in range(22, 32)) >= 8
 
 
+def test_the_bound_by_pieces_is_no_less_than_the_distance(spark):
+    rng, rows = np.random.default_rng(11), []
+    word = lambda: "".join(rng.choice(list("abcdefghé"), rng.integers(2, 9)))
+    for i in range(24):
+        a = [word() for _ in range(int(rng.integers(1, 500)))]
+        b = [word() if rng.random() < 0.03 else w for w in a]
+        at = int(rng.integers(0, len(b) + 1))
+        b[at:at] = [word() for _ in range(len(a) // 10 if i % 3 else 0)]   # one long insertion moves all that follows
+        rows.append((i, *(" ".join(x) for x in ((a, b) if i % 2 else (b, a)))))
+    rows += [(90, "", "abc"), (91, "", ""), (92, "x" * 801, "x" * 799), (93, "a" * 2400, "b" * 2000)]
+    got = spark.createDataFrame(rows, "i int, a string, b string").select("i", F.greatest(F.length("a"), F.length("b")).alias("n"), F.levenshtein("a", "b").alias(
+        "d"), lines._piecewise(F.col("a"), F.col("b")).alias("p"), lines.similar(F.col("a"), F.col("b"), 0.8).alias("s")).collect()
+    assert all(r.p >= r.d and r.s == (5 * r.d <= r.n) for r in got)
+    assert sum(5 * r.p <= r.n for r in got if r.i < 90) >= 16
+
+
+def test_blocks_of_other_words_with_equal_bits_are_not_shared(spark):
+    rng = np.random.default_rng(12)
+    texts = [(i, " ".join(f"{rng.integers(10 ** 9)}x" for _ in range(30))) for i in range(4000)]   # no two lines have a word in common
+    runs = common.written(lines.class_votes(spark.createDataFrame(texts, "doc_id long, text string"), 5), "test-votes")
+    marked = common.written(lines.class_prints(runs).withColumn("id", F.col("doc_id")), "test-prints")
+    assert lines.shared_blocks(marked).count() <= 40   # by the bits and numbers of words alone: thousands
+
+
+def test_lines_around_the_limits_of_their_keys_are_found(spark, tmp_path):
+    rng = np.random.default_rng(13)
+    base = [[f"{rng.integers(10 ** 7)}w" for _ in range(n)] for n in (24, 31, 32, 95, 96, 125, 126, 127, 254)]
+    got = op9(spark, tmp_path, [" ".join(w) for w in base] + [" ".join([*w[:5], f"new{i}", *w[5:]]) for i, w in enumerate(base)])
+    assert [got[i] for i in range(18)] == [0] * 9 + [1] * 9
+
+
 # --------------------------------------------------------------------------- pipeline
 def test_pipeline_stages_take_effect(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
